@@ -155,12 +155,15 @@ def _same(a: list, b: list, left: list, right: list) -> list[bool]:
 
 
 def _compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    out, sets = [], [shingles(t) for t in b.text]
+    out, sets, joined = [], [shingles(t) for t in b.text], linkage.Joined()
     sizes, of, ids = np.array([len(s) for s in sets]), b.component.to_numpy(), b.id.to_numpy()
     for i, c, text in zip(a.id, a.component, a.text, strict=True):
         own = shingles(text)
         near = (of != c) & (100 * np.minimum(sizes, len(own)) >= PER_CENT * np.maximum(sizes, len(own)))
-        out += [(i, ids[k]) for k in np.flatnonzero(near) if jaccard_at_least(own, sets[k], PER_CENT)]
+        for k in np.flatnonzero(near):
+            if joined.find(c) != joined.find(of[k]) and jaccard_at_least(own, sets[k], PER_CENT):
+                joined.join(c, of[k])
+                out.append((i, ids[k]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -175,7 +178,7 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     payload = scratch(line_texts(documents, wanted).dropDuplicates(["id"]), "candidates")
     edges = scratch(linkage.verified(linkage.hub_pairs(links), payload, _same, ["text"]), "linked")
     joined = scratch(linkage.components(edges), "joined")
-    more = scratch(linkage.leftover_pairs(links, joined, payload, _compare, ["text"]), "leftover")
+    more = scratch(linkage.leftover_links(links, joined, payload, _compare, ["text"]), "linked")
     if not more.isEmpty():
         joined = linkage.components(edges.union(more))
     # lines that occur once and are like no other need no decision

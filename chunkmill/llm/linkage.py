@@ -3,9 +3,10 @@
 1. `bucket_links`: each task first joins what it holds of a bucket to its own smallest member (its hub) and sends
    one entry a bucket onward; entries travel packed, many to a row. A bucket of any size costs one entry a task.
 2. Members are verified against their hubs, and `components` joins what is linked.
-3. `leftover_pairs`: buckets that still hold several components have every member outside the most frequent
-   component compared with all others, in tiles of bounded size. So no pair that shares a bucket goes unseen
-   unless it is already connected.
+3. `leftover_links`: buckets that still hold several components have every member outside the most frequent
+   component compared with all others, in tiles of bounded size, and verified there; a tile returns one link for
+   components that it joins. So no pair that shares a bucket goes unseen unless it is already connected, and what
+   is written stays in proportion to the members.
 """
 
 from __future__ import annotations
@@ -138,10 +139,26 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def leftover_pairs(links: DataFrame, joined: DataFrame, payload: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], columns: list[str]) -> DataFrame:
-    """Pairs (a, b) that `compare` finds between members of a bucket that are not connected yet.
+class Joined:
+    """Components that have been joined meanwhile (union-find)."""
 
-    compare gets two frames (id, component, *columns) and returns pairs of different components.
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+
+
+def leftover_links(links: DataFrame, joined: DataFrame, payload: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], columns: list[str]) -> DataFrame:
+    """Verified links (a, b) that `compare` finds between members of a bucket that are not connected yet.
+
+    compare gets two frames (bucket, id, component, *columns) and returns links of different components.
     """
     members = links.select("bucket", "id").union(links.select("bucket", F.col("hub").alias("id"))).distinct()
     members = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -30,6 +30,8 @@ REGISTERS, BASE, RATE, LIMIT = 252, 1.001, 20.0, 65535
 MISS = 1e-5
 #: Standard errors of the joint estimate that a pair may lie below the threshold and still be confirmed on full sets.
 MARGIN = 5.0
+#: How far below the least estimate the share of equal registers may lie for an estimate to be made.
+COARSE = 0.15
 
 
 _DRAWN = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -146,17 +148,36 @@ def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
         return [bool(ok) and jaccard_at_least(shingles(x["text"]), shingles(y["text"]), per_cent) for ok, x, y in zip(likely, left, right, strict=True)]
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            regs = np.frombuffer(b"".join(b.regs), np.uint16).reshape(-1, REGISTERS)
-            for i, c, n, r in zip(a.id, a.component, a.n_shingles, a.regs, strict=True):
-                own = np.frombuffer(r, np.uint16)
-                size = b.n_shingles.to_numpy()
-                near = (b.component.to_numpy() != c) & (100 * np.minimum(size, n) >= per_cent * np.maximum(size, n))
-                at = np.flatnonzero(near)
-                if len(at):
-                    likely = estimate((own > regs[at]).sum(1), (own < regs[at]).sum(1), np.full(len(at), n), size[at]) >= floor
-                    out += [(i, x) for x in b.id.to_numpy()[at[likely]]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        left, right = (np.frombuffer(b"".join(x.regs), np.uint16).reshape(-1, REGISTERS) for x in (a, b))
+        keys_a, keys_b = band_keys(left, per_cent), band_keys(right, per_cent)
+        band = int(np.flatnonzero(keys_a[0] == np.array(a.bucket.iloc[0], np.int64).view(np.uint64))[0])
+        n_a, n_b, of = a.n_shingles.to_numpy(), b.n_shingles.to_numpy(), b.component.to_numpy()
+        pairs = []
+        for i, component in enumerate(a.component):
+            at = np.flatnonzero((of != component) & (100 * np.minimum(n_b, n_a[i]) >= per_cent * np.maximum(n_b, n_a[i])))
+            # a pair that met in an earlier band is looked at there
+            at = at[~(keys_a[i, :band] == keys_b[at, :band]).any(1)] if band else at
+            same_registers = (left[i] == right[at]).sum(1)
+            at = at[same_registers >= (floor - COARSE) * REGISTERS]
+            pairs.append(np.column_stack([np.full(len(at), i), at]))
+        x, y = np.concatenate(pairs).T
+        likely = estimate((left[x] > right[y]).sum(1), (left[x] < right[y]).sum(1), n_a[x], n_b[y]) if len(x) else np.empty(0)
+        known, sets, joined, out = WordHashes(), {}, linkage.Joined(), []
+        for k in np.argsort(-likely, kind="stable"):
+            if likely[k] < floor:
+                break
+            i, j = int(x[k]), int(y[k])
+            c, d = int(a.component.iloc[i]), int(of[j])
+            if joined.find(c) == joined.find(d):
+                continue
+            for key, text in (((0, i), a.text), ((1, j), b.text)):
+                if key not in sets:
+                    sets[key] = word_shingles(text.iloc[key[1]] or "", known)
+            if jaccard_at_least(sets[0, i], sets[1, j], per_cent):
+                joined.join(c, d)
+                out.append((a.id.iloc[i], b.id.iloc[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     links = linkage.bucket_links(map_text(one_each.select("id", "regs"), lambda batches: linkage.pack(entries(batches), parts), linkage.PACKED))
@@ -165,8 +186,7 @@ def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
     payload = scratch(payload.join(one_each.dropDuplicates(["id"]), "id"), "candidates")
     edges = scratch(linkage.verified(linkage.hub_pairs(links), payload, same, ["text", "regs", "n_shingles"]), "linked")
     joined = scratch(linkage.components(edges), "joined")
-    more = scratch(linkage.leftover_pairs(links, joined, payload, compare, ["regs", "n_shingles"]), "leftover")
-    more = scratch(linkage.verified(more, payload, same, ["text", "regs", "n_shingles"]), "linked")
+    more = scratch(linkage.leftover_links(links, joined, payload, compare, ["text", "regs", "n_shingles"]), "linked")
     if not more.isEmpty():
         joined = linkage.components(edges.union(more))
     found = signed.select("id", "n_shingles", "lo", "hi").join(classes, ["lo", "hi"], "left").withColumn("class", F.expr("if(n_shingles > 0 and id is not null, class, id)"))
