@@ -25,7 +25,9 @@ from .common import jaccard_at_least, map_text, mix, scratch, texts
 
 #: Code points to a shingle, similarity in hundredths, bands and rows: a pair at 0.8 is missed with probability 0.0006.
 WIDTH, PER_CENT, BANDS, ROWS = 8, 80, 14, 4
-REGISTERS = BANDS * ROWS
+#: Registers that estimate a candidate's similarity before it is verified (the first ones are the bands'), and the
+#: least share of equal ones: four standard errors below the threshold.
+REGISTERS, LEAST = 256, 0.7
 #: Code points that are hashed at a time (they stay in the processor's cache), lines that a task remembers.
 CHUNK, REMEMBERED = 1 << 16, 1_000_000
 _DRAWN = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -38,9 +40,9 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def signatures(lines: list[str]) -> np.ndarray:
+def signatures(lines: list[str], registers: int = BANDS * ROWS) -> np.ndarray:
     """MinHash registers of many lines at once, a row each."""
-    out = np.empty((len(lines), REGISTERS), np.uint32)
+    out = np.empty((len(lines), registers), np.uint32)
     gap, at = "\0" * (WIDTH - 1), 0
     while at < len(lines):
         end, size = at, 0
@@ -62,7 +64,7 @@ def signatures(lines: list[str]) -> np.ndarray:
         cuts = np.stack([starts, starts + np.maximum(lengths - WIDTH + 1, 1)], 1).ravel()
         cuts = cuts[:-1] if cuts[-1] >= n else cuts
         g = np.empty_like(h)
-        for r in range(REGISTERS):
+        for r in range(registers):
             np.bitwise_xor(h, SALT[r], out=g)
             np.multiply(g, TIMES[r], out=g)
             out[at:end, r] = np.minimum.reduceat(g, cuts)[::2]
@@ -71,7 +73,7 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    x = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
+    x = regs[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(np.uint64)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(48), x.shape[:2])
     for i in range(ROWS):
         keys = mix(keys + x[:, :, i] + np.uint64(1))
@@ -97,22 +99,64 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h"), "text")
 
 
-def occurrences(documents: DataFrame) -> DataFrame:
-    """(doc, h, line, hash) of every line that is not blank."""
+def placed(documents: DataFrame, parts: int) -> DataFrame:
+    """Where lines stand, packed: of each line the first place in a task, and the places that are not the first there.
+
+    The former go to the part of the line's hash, so a line of any frequency sends one entry a task; the latter are
+    dropped whatever the others hold, and are dealt out evenly. An entry is (hash, no doc_id, doc, h, line).
+    """
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(held)
+        x = x[np.lexsort((x[:, 4], x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
+        first = np.concatenate(([True], x[1:, 0] != x[:-1, 0]))
+        own, later = x[first], x[~first]
+        part = (own[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        own, part = own[np.argsort(part, kind="stable")], np.sort(part)
+        cuts, share = np.searchsorted(part, np.arange(parts + 1)), np.linspace(0, len(later), parts + 1).astype(int)
+        return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([own[cuts[p] : cuts[p + 1]].tobytes() for p in range(parts)], pa.binary()), pa.array([later[share[p] : share[p + 1]].tobytes() for p in range(parts)], pa.binary())], ["part", "firsts", "laters"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            row, line, hashes = [], [], []
-            for i, text in enumerate(texts(batch)):
-                for k, x in enumerate(split(text)):
-                    if x:
-                        row.append(i)
-                        line.append(k)
-                        hashes.append(line_hash(x))
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("h").take(at), pa.array(line, pa.int32()), pa.array(hashes, pa.int64())], ["doc", "h", "line", "hash"])
+            found = []
+            for text, doc, h in zip(texts(batch), batch.column("doc").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                found += [(line_hash(x), doc is None, doc or 0, h, k) for k, x in enumerate(split(text)) if x]
+            if found:
+                held.append(np.array(found, np.int64))
+                n += len(found)
+            if n > REMEMBERED:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return map_text(_keyed(documents), rows, "part int, firsts binary, laters binary")
+
+
+PLACES = "hash long, no boolean, doc long, h long, line int, kind int"
+
 
-    return map_text(_keyed(documents), rows, "doc long, h long, line int, hash long")
+def open_places(places: DataFrame, named: DataFrame, parts: int) -> DataFrame:
+    """Places of lines that stand in several tasks or are named (id), and the places that are dropped anyway.
+
+    kind: 0 the first place of a named line, 1 of another, 2 a later one, 3 dropped.
+    """
+
+    def reduce(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x, later = (np.frombuffer(b"".join(left[c]), np.int64).reshape(-1, 5) for c in ("firsts", "laters"))
+        x = x[np.lexsort((x[:, 4], x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
+        first = np.concatenate(([True], x[1:, 0] != x[:-1, 0]))[: len(x)]
+        last = np.concatenate((first[1:], [True]))[: len(x)]
+        is_named = np.isin(x[:, 0], right["id"].to_numpy())
+        kept = ~(first & last) | is_named
+        kind = np.where(first, np.where(is_named, 0, 1), 2)[kept]
+        out = np.concatenate([x[kept], later])
+        return pd.DataFrame({"hash": out[:, 0], "no": out[:, 1] > 0, "doc": out[:, 2], "h": out[:, 3], "line": out[:, 4].astype(np.int32), "kind": np.append(kind, np.full(len(later), 3)).astype(np.int32)})
+
+    # ids are signed: their part is that of the same 64 bits taken as unsigned
+    part = F.expr(f"cast((cast(id as decimal(20,0)) + if(id < 0, 18446744073709551616BD, 0BD)) % {parts} as int)")
+    return scratch(places.groupBy("part").cogroup(named.select("id", part.alias("part")).groupBy("part")).applyInPandas(reduce, PLACES), "places")
 
 
 def banded(documents: DataFrame, parts: int) -> DataFrame:
@@ -150,49 +194,43 @@ def line_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_text(_keyed(documents).join(lists, F.expr("doc <=> d and h = k")).select("text", "wanted"), rows, "id long, text string")
 
 
-def _same(a: list, b: list, left: list, right: list) -> list[bool]:
-    return [jaccard_at_least(shingles(x["text"]), shingles(y["text"]), PER_CENT) for x, y in zip(left, right, strict=True)]
+def _likely(a: np.ndarray, b: np.ndarray, *_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    share = (a == b).mean(1)
+    return share, share >= LEAST
 
 
-def _compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    out, sets, joined = [], [shingles(t) for t in b.text], linkage.Joined()
-    sizes, of, ids = np.array([len(s) for s in sets]), b.component.to_numpy(), b.id.to_numpy()
-    for i, c, text in zip(a.id, a.component, a.text, strict=True):
-        own = shingles(text)
-        near = (of != c) & (100 * np.minimum(sizes, len(own)) >= PER_CENT * np.maximum(sizes, len(own)))
-        for k in np.flatnonzero(near):
-            if joined.find(c) != joined.find(of[k]) and jaccard_at_least(own, sets[k], PER_CENT):
-                joined.join(c, of[k])
-                out.append((i, ids[k]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _same(a: list, b: list, left: list, right: list) -> list[bool]:
+    if not a:
+        return []
+    _, good = _likely(*(signatures([x["text"] for x in side], REGISTERS) for side in (left, right)))
+    return [bool(ok) and jaccard_at_least(shingles(x["text"]), shingles(y["text"]), PER_CENT) for ok, x, y in zip(good, left, right, strict=True)]
 
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
-    """(doc, h, drop): the numbers of each document's lines that an earlier line stands for."""
-    seen = scratch(occurrences(documents), "lines")
-    place = F.struct(F.isnull("doc").alias("no"), "doc", "h", "line")
-    lines = seen.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    links = linkage.bucket_links(banded(documents, linkage.parts_for(seen.count() * BANDS)))
-    named = links.select("id").union(links.select("hub")).distinct()
-    wanted = lines.join(named, F.col("hash") == F.col("id")).select("first.doc", "first.h", "first.line", "id")
-    payload = scratch(line_texts(documents, wanted).dropDuplicates(["id"]), "candidates")
+    """(no, doc, h, drop): the numbers of each document's lines that an earlier line stands for."""
+    lines = documents.agg(F.sum(F.regexp_count("text", F.lit("\n")) + 1)).first()[0] or 0
+    parts = linkage.parts_for(lines)
+    links = linkage.bucket_links(banded(documents, linkage.parts_for(lines * BANDS)))
+    open_ = open_places(placed(documents, parts), links.select("id").distinct(), parts)
+    wanted = open_.where("kind = 0").select(F.expr("if(no, null, doc)").alias("doc"), "h", "line", F.col("hash").alias("id"))
+    payload = scratch(line_texts(documents, wanted).dropDuplicates(["id"]).withColumn("size", F.length("text")), "candidates")
     edges = scratch(linkage.verified(linkage.hub_pairs(links), payload, _same, ["text"]), "linked")
     joined = scratch(linkage.components(edges), "joined")
-    more = scratch(linkage.leftover_links(links, joined, payload, _compare, ["text"]), "linked")
+    comparison = linkage.Comparison(lambda batch: signatures(texts(batch), REGISTERS), band_keys, LEAST, _likely, shingles, PER_CENT)
+    more = scratch(linkage.leftover_links(links, joined, payload, comparison), "linked")
     if not more.isEmpty():
         joined = linkage.components(edges.union(more))
-    # lines that occur once and are like no other need no decision
-    open_ = lines.join(joined.withColumnRenamed("id", "hash"), "hash", "left").where("n > 1 or component is not null")
-    open_ = scratch(open_.select("hash", "first", F.coalesce("component", "hash").alias("component")), "open")
-    kept = open_.groupBy("component").agg(F.min("first").alias("keep"))
-    decided = open_.join(kept, "component").select("hash", "keep")
-    drop = seen.join(decided, "hash").where(place != F.col("keep"))
-    return drop.groupBy("doc", "h").agg(F.collect_list("line").alias("drop"))
+    place = F.struct("no", "doc", "h", "line")
+    undecided = open_.where("kind < 3").join(joined.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    firsts = undecided.where("kind < 2").groupBy("component").agg(F.min(place).alias("keep"))
+    gone = ["no", "doc", "h", "line"]
+    drop = undecided.join(firsts, "component").where(place != F.col("keep")).select(gone).union(open_.where("kind = 3").select(gone))
+    return drop.groupBy("no", "doc", "h").agg(F.collect_set("line").alias("drop"))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The rows of documents with text rewritten, and n_lines_ (not blank) and n_kept_ of them."""
-    dropped = dropped_lines(documents).select(F.col("doc").alias("d_"), F.col("h").alias("h_"), F.col("drop").alias("drop_"))
+    dropped = dropped_lines(documents).select(F.expr("if(no, null, doc)").alias("d_"), F.col("h").alias("h_"), F.col("drop").alias("drop_"))
     rows_in = documents.join(dropped, F.expr("cast(doc_id as bigint) <=> d_ and xxhash64(text) = h_"), "left").drop("d_", "h_")
     names = documents.columns
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import jaccard_at_least, map_text, scratch
 
 #: Bucket entries (16 bytes each) that a task holds before it sends them on, and that one reducing task gets on average.
 HELD, REDUCED = 1_500_000, 1_500_000
@@ -85,12 +85,13 @@ def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def bucket_links(packed: DataFrame) -> DataFrame:
     """(bucket, id, hub) of the buckets with several members; written, because several steps read it."""
-    links = packed.groupBy("part").applyInPandas(_reduce, "bucket long, id long, hub long")
-    return scratch(links.distinct(), "links")
+    return scratch(packed.groupBy("part").applyInPandas(_reduce, "bucket long, id long, hub long"), "links")
 
 
 def hub_pairs(links: DataFrame) -> DataFrame:
-    return links.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    """Each member and the hub that it shares most buckets with; what this leaves apart, leftover_links sees."""
+    shared = links.where("id <> hub").groupBy("id", "hub").count()
+    return shared.groupBy("id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a")).select("a", F.col("id").alias("b"))
 
 
 def verified(pairs: DataFrame, payload: DataFrame, same: Callable[[list, list, list, list], list[bool]], columns: list[str]) -> DataFrame:
@@ -155,25 +156,102 @@ class Joined:
         self.up[self.find(x)] = self.find(y)
 
 
-def leftover_links(links: DataFrame, joined: DataFrame, payload: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], columns: list[str]) -> DataFrame:
-    """Verified links (a, b) that `compare` finds between members of a bucket that are not connected yet.
+class _Rows:
+    """Rows of tiles in columns; tiles may go on in the next batch."""
 
-    compare gets two frames (bucket, id, component, *columns) and returns links of different components.
+    def __init__(self, key: np.ndarray, of: np.ndarray, regs: np.ndarray, keys: np.ndarray, text: list, size: np.ndarray):
+        self.columns = key, of, regs, keys, text, size
+
+    def __add__(self, other: _Rows) -> _Rows:
+        return _Rows(*[a + b if isinstance(a, list) else np.concatenate([a, b]) for a, b in zip(self.columns, other.columns, strict=True)])
+
+    def cut(self, i: int, j: int) -> _Rows:
+        return _Rows(*[c[i:j] for c in self.columns])
+
+
+class Comparison:
+    """How members of a tile are compared.
+
+    regs_of: a batch's registers, a row each; keys_of: their band keys; least: share of equal registers below which a
+    pair is not looked at; likely: which pairs of registers and sizes to verify, with a figure to begin with the best;
+    shingles_of: a text's sorted distinct shingle hashes, compared exactly against per_cent.
     """
-    members = links.select("bucket", "id").union(links.select("bucket", F.col("hub").alias("id"))).distinct()
-    members = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def __init__(self, regs_of: Callable, keys_of: Callable, least: float, likely: Callable, shingles_of: Callable, per_cent: int):
+        self.regs_of, self.keys_of, self.least, self.likely, self.shingles_of, self.per_cent = regs_of, keys_of, least, likely, shingles_of, per_cent
+
+    def rows(self, batch: pa.RecordBatch) -> _Rows:
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        regs = self.regs_of(batch)
+        return _Rows(np.column_stack([column("bucket"), column("x"), column("y")]), np.column_stack([column("side"), column("id"), column("component")]), regs, self.keys_of(regs), batch.column("text").to_pylist(), column("size"))
+
+    def links(self, tile: _Rows) -> list[tuple[int, int]]:
+        key, of, regs, keys, text, size = tile.columns
+        a, b = np.flatnonzero(of[:, 0] == 0), np.flatnonzero(of[:, 0] == 1)
+        if not len(a) or not len(b):
+            return []
+        band = int(np.flatnonzero(keys[0] == key[0, :1].view(np.uint64))[0])
+        right, right_keys, component = regs[b], keys[b, :band], of[b, 2]
+        pairs = []
+        for i in a:
+            ok = component != of[i, 2]
+            if band:  # a pair that met in an earlier band is looked at there
+                ok &= ~(right_keys == keys[i, :band]).any(1)
+            at = np.flatnonzero(ok)
+            if len(at):
+                at = at[(right[at] == regs[i]).sum(1) >= self.least * regs.shape[1]]
+                pairs += [(i, b[j]) for j in at]
+        if not pairs:
+            return []
+        x, y = np.array(pairs).T
+        figure, good = self.likely(regs[x], regs[y], size[x], size[y])
+        sets: dict[int, np.ndarray] = {}
+        joined, out = Joined(), []
+        for k in np.argsort(-figure, kind="stable"):
+            i, j = int(x[k]), int(y[k])
+            c, d = int(of[i, 2]), int(of[j, 2])
+            if not good[k] or joined.find(c) == joined.find(d):
+                continue
+            for m in (i, j):
+                if m not in sets:
+                    sets[m] = self.shingles_of(text[m] or "")
+            if jaccard_at_least(sets[i], sets[j], self.per_cent):
+                joined.join(c, d)
+                out.append((int(of[i, 1]), int(of[j, 1])))
+        return out
+
+    def stream(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of rows sorted by tile to batches of links."""
+        held: _Rows | None = None
+
+        def found(tiles: list[_Rows]) -> pa.RecordBatch:
+            pairs = [p for t in tiles for p in self.links(t)]
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                now = self.rows(batch)
+                held = held + now if held else now
+                key = held.columns[0]
+                cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+                yield found([held.cut(i, j) for i, j in zip(cuts, cuts[1:], strict=False)])
+                held = held.cut(cuts[-1], len(key))
+        if held:
+            yield found([held])
+
+
+def leftover_links(links: DataFrame, joined: DataFrame, payload: DataFrame, comparison: Comparison) -> DataFrame:
+    """Verified links (a, b) between members of a bucket that are not connected yet; payload: id, text, size and what regs_of reads."""
+    members = links.select("bucket", "id").join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    members = scratch(members.join(several, "bucket").distinct(), "members")
     counted = members.groupBy("bucket", "component").count()
-    open_ = counted.groupBy("bucket").agg(F.count("*").alias("k"), F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most")).where("k > 1")
-    members = members.join(open_, "bucket")
+    sizes = counted.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    members = members.join(sizes, "bucket")
     minor, tiles = F.col("component") != F.col("main"), lambda n: F.ceil(n / TILE).cast("int")
     a_tiles, b_tiles = tiles(F.col("n") - F.col("most")), tiles(F.col("n"))
     place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     a = members.where(minor).select("bucket", "id", "component", F.lit(0).alias("side"), place(a_tiles).alias("x"), F.explode(F.sequence(F.lit(0), b_tiles - 1)).alias("y"))
     b = members.select("bucket", "id", "component", F.lit(1).alias("side"), place(b_tiles).alias("y"), F.explode(F.sequence(F.lit(0), a_tiles - 1)).alias("x")).select(a.columns)
-    rows = a.union(b).join(payload.select("id", *columns), "id")
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        return compare(pdf[pdf.side == 0].reset_index(drop=True), pdf[pdf.side == 1].reset_index(drop=True))
-
-    found = rows.groupBy("bucket", "x", "y").applyInPandas(tile, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = a.union(b).join(payload, "id").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return map_text(rows, comparison.stream, "a long, b long").distinct()

@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -64,6 +63,10 @@ def layout(per_cent: int) -> tuple[int, int]:
     return REGISTERS, 1
 
 
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
 def band_keys(regs: np.ndarray, per_cent: int) -> np.ndarray:
     """One 64-bit key a document and band."""
     bands, rows = layout(per_cent)
@@ -126,8 +129,7 @@ def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             if batch.num_rows:
-                regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                keys = band_keys(regs, per_cent)
+                keys = band_keys(unpacked(batch.column("regs")), per_cent)
                 yield keys.ravel(), np.repeat(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64), keys.shape[1])
 
     def same(a: list, b: list, left: list, right: list) -> list[bool]:
@@ -143,50 +145,21 @@ def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
         if not a:
             return []
         ra, rb = (np.frombuffer(b"".join(x["regs"] for x in side), np.uint16).reshape(-1, REGISTERS) for side in (left, right))
-        na, nb = (np.array([x["n_shingles"] for x in side]) for side in (left, right))
-        likely = estimate((ra > rb).sum(1), (ra < rb).sum(1), na, nb) >= floor
-        return [bool(ok) and jaccard_at_least(shingles(x["text"]), shingles(y["text"]), per_cent) for ok, x, y in zip(likely, left, right, strict=True)]
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        left, right = (np.frombuffer(b"".join(x.regs), np.uint16).reshape(-1, REGISTERS) for x in (a, b))
-        keys_a, keys_b = band_keys(left, per_cent), band_keys(right, per_cent)
-        band = int(np.flatnonzero(keys_a[0] == np.array(a.bucket.iloc[0], np.int64).view(np.uint64))[0])
-        n_a, n_b, of = a.n_shingles.to_numpy(), b.n_shingles.to_numpy(), b.component.to_numpy()
-        pairs = []
-        for i, component in enumerate(a.component):
-            at = np.flatnonzero((of != component) & (100 * np.minimum(n_b, n_a[i]) >= per_cent * np.maximum(n_b, n_a[i])))
-            # a pair that met in an earlier band is looked at there
-            at = at[~(keys_a[i, :band] == keys_b[at, :band]).any(1)] if band else at
-            same_registers = (left[i] == right[at]).sum(1)
-            at = at[same_registers >= (floor - COARSE) * REGISTERS]
-            pairs.append(np.column_stack([np.full(len(at), i), at]))
-        x, y = np.concatenate(pairs).T
-        likely = estimate((left[x] > right[y]).sum(1), (left[x] < right[y]).sum(1), n_a[x], n_b[y]) if len(x) else np.empty(0)
-        known, sets, joined, out = WordHashes(), {}, linkage.Joined(), []
-        for k in np.argsort(-likely, kind="stable"):
-            if likely[k] < floor:
-                break
-            i, j = int(x[k]), int(y[k])
-            c, d = int(a.component.iloc[i]), int(of[j])
-            if joined.find(c) == joined.find(d):
-                continue
-            for key, text in (((0, i), a.text), ((1, j), b.text)):
-                if key not in sets:
-                    sets[key] = word_shingles(text.iloc[key[1]] or "", known)
-            if jaccard_at_least(sets[0, i], sets[1, j], per_cent):
-                joined.join(c, d)
-                out.append((a.id.iloc[i], b.id.iloc[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        _, good = likely(ra, rb, *(np.array([x["size"] for x in side]) for side in (left, right)))
+        return [bool(ok) and jaccard_at_least(shingles(x["text"] or ""), shingles(y["text"] or ""), per_cent) for ok, x, y in zip(good, left, right, strict=True)]
+
+    def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = estimate((a > b).sum(1), (a < b).sum(1), n_a, n_b)
+        return found, (found >= floor) & (100 * np.minimum(n_a, n_b) >= per_cent * np.maximum(n_a, n_b))
 
+    comparison = linkage.Comparison(lambda batch: unpacked(batch.column("regs")), lambda regs: band_keys(regs, per_cent), floor - COARSE, likely, lambda text: word_shingles(text, WordHashes()), per_cent)
     links = linkage.bucket_links(map_text(one_each.select("id", "regs"), lambda batches: linkage.pack(entries(batches), parts), linkage.PACKED))
-    named = links.select("id").union(links.select("hub")).distinct()
+    named = links.select("id").distinct()
     payload = documents.select(F.col("doc_id").alias("id"), "text").join(named, "id").dropDuplicates(["id"])
-    payload = scratch(payload.join(one_each.dropDuplicates(["id"]), "id"), "candidates")
-    edges = scratch(linkage.verified(linkage.hub_pairs(links), payload, same, ["text", "regs", "n_shingles"]), "linked")
+    payload = scratch(payload.join(one_each.dropDuplicates(["id"]), "id").withColumnRenamed("n_shingles", "size"), "candidates")
+    edges = scratch(linkage.verified(linkage.hub_pairs(links), payload, same, ["text", "regs", "size"]), "linked")
     joined = scratch(linkage.components(edges), "joined")
-    more = scratch(linkage.leftover_links(links, joined, payload, compare, ["text", "regs", "n_shingles"]), "linked")
+    more = scratch(linkage.leftover_links(links, joined, payload, comparison), "linked")
     if not more.isEmpty():
         joined = linkage.components(edges.union(more))
     found = signed.select("id", "n_shingles", "lo", "hi").join(classes, ["lo", "hi"], "left").withColumn("class", F.expr("if(n_shingles > 0 and id is not null, class, id)"))
