@@ -25,8 +25,8 @@ from .common import map_text, texts
 #: The byte-level pre-tokenizer's pattern, white space spelled out as Unicode's property has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Words whose ids a task remembers, and code points of text whose new words are encoded together.
+REMEMBERED, TOGETHER = 400_000, 6_000_000
 
 
 def byte_letters() -> list[str]:
@@ -45,73 +45,95 @@ class Codec:
         letters = byte_letters()
         value = {c: b for b, c in enumerate(letters)}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in merges)
-        self.first = [vocab[c] for c in letters]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.first = np.array([vocab[c] for c in letters], np.int64)
+        self.width = max(vocab.values()) + 1
+        self.by_rank = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        codes = np.array([a * self.width + b for a, b, _ in self.by_rank], np.int64)
+        self.rank = np.argsort(codes, kind="stable")
+        self.codes = codes[self.rank]
         self.bytes_of = {i: bytes(value[c] for c in token) for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of.update({i: t.encode() for t, i in self.special.items()})
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-
-    def merged(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, all words at once."""
-        symbol: list[int] = []
-        end: list[int] = []  # the next living symbol of the word, or -1
-        for word in words:
-            symbol += map(self.first.__getitem__, word)
-            end += range(len(end) + 1, len(symbol))
-            end.append(-1)
-        before = [-1] * len(symbol)
-        for i, j in enumerate(end):
-            if j >= 0:
-                before[j] = i
-        where: dict[int, list[int]] = {}
-        made_by: dict[int, tuple[int, int, int]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, bytes] = {}
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one word's after another's, and how many each word has."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        symbol, n = self.first[raw], len(raw)
+        word_of = np.repeat(np.arange(len(words)), lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        edge = np.flatnonzero(word_of[1:] != word_of[:-1])
+        after[edge], before[edge + 1] = -1, -1
+        if n:
+            after[-1] = -1
+        where: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
-        merges = self.merges.get
-
-        def note(i: int, j: int) -> None:
-            found = merges((symbol[i], symbol[j]))
-            if found is not None:
-                rank, new = found
-                if rank in where:
-                    where[rank].append(i)
+
+        def note(at: np.ndarray) -> None:
+            """Enters the pairs that begin at these positions under their ranks."""
+            code = symbol[at] * self.width + symbol[after[at]]
+            place = np.searchsorted(self.codes, code)
+            place[place == len(self.codes)] = 0
+            found = self.codes[place] == code
+            at, rank = at[found], self.rank[place[found]]
+            if not len(at):
+                return
+            order = np.lexsort((at, rank))
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, own in zip(rank[np.append(0, cuts)].tolist(), np.split(at, cuts), strict=True):
+                if r in where:
+                    where[r].append(own)
                 else:
-                    where[rank] = [i]
-                    made_by[rank] = (symbol[i], symbol[j], new)
-                    heapq.heappush(active, rank)
+                    where[r] = [own]
+                    heapq.heappush(active, r)
 
-        for i, j in enumerate(end):
-            if j >= 0:
-                note(i, j)
+        note(np.flatnonzero(after >= 0))
         while active:
-            rank = heapq.heappop(active)
-            a, b, new = made_by[rank]
-            for i in sorted(where.pop(rank)):
-                j = end[i]
-                if symbol[i] != a or j < 0 or symbol[j] != b:
-                    continue
-                symbol[i], symbol[j] = new, -1
-                after = end[i] = end[j]
-                end[j] = -1
-                if after >= 0:
-                    before[after] = i
-                    note(i, after)
-                if before[i] >= 0:
-                    note(before[i], i)
-        out, at = [], 0
-        for word in words:
-            out.append([x for x in symbol[at : at + len(word)] if x >= 0])
-            at += len(word)
-        return out
+            r = heapq.heappop(active)
+            a, b, new = self.by_rank[r]
+            lists = where.pop(r)
+            i = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            i = i[(symbol[i] == a) & (after[i] >= 0)]
+            i = i[symbol[after[i]] == b]
+            if a == b and len(i) > 1:  # of overlapping pairs the left one goes first
+                kept, taken = [], -1
+                for x, y in zip(i.tolist(), after[i].tolist(), strict=True):
+                    if x != taken:
+                        kept.append(x)
+                        taken = y
+                i = np.array(kept, np.int64)
+            if not len(i):
+                continue
+            j = after[i]
+            k = after[j]
+            symbol[i], symbol[j] = new, -1
+            after[i], after[j] = k, -1
+            more = k >= 0
+            before[k[more]] = i[more]
+            left = before[i]
+            left = left[left >= 0]
+            note(np.unique(np.concatenate([left, i[more]])) if len(left) + more.sum() > 1 else np.concatenate([left, i[more]]))
+        alive = symbol >= 0
+        return symbol[alive], np.bincount(word_of[alive], minlength=len(words))
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for word, ids in zip(new, self.merged([w.encode() for w in new]), strict=True):
-            self.known[word] = (np.array(ids, "<u4").tobytes(), self.decode_bytes(ids))
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+            self.text.clear()
+        new = [w for w in words if w not in self.ids and w not in self.special]
+        ids, counts = self.merged([w.encode() for w in new])
+        ends = np.cumsum(counts).tolist()
+        raw, pieces = ids.astype("<u4").tobytes(), list(map(self.bytes_of.__getitem__, ids.tolist()))
+        for word, n, end in zip(new, counts.tolist(), ends, strict=True):
+            self.ids[word] = raw[4 * (end - n) : 4 * end]
+            self.text[word] = b"".join(pieces[end - n : end])
+        for token in words & self.special.keys():
+            self.ids[token], self.text[token] = np.array([self.special[token]], "<u4").tobytes(), token.encode()
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order."""
@@ -125,16 +147,9 @@ class Codec:
     def encode_batch(self, rows: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
         parts = [self.pieces(t) for t in rows]
-        wanted = set().union(*parts) if parts else set()
-        for special in wanted & self.special.keys():
-            self.known[special] = (np.array([self.special[special]], "<u4").tobytes(), special.encode())
-        self.learn(wanted)
-        for special in wanted & self.special.keys():  # the memory may have been cleared meanwhile
-            self.known[special] = (np.array([self.special[special]], "<u4").tobytes(), special.encode())
-        known = self.known
+        self.learn(set().union(*parts))
         for words in parts:
-            found = [known[w] for w in words]
-            yield b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+            yield b"".join(map(self.ids.__getitem__, words)), b"".join(map(self.text.__getitem__, words))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_batch([text]))[0], "<u4").tolist()
@@ -154,14 +169,25 @@ def encoded(documents: DataFrame, vocabulary: str, with_ids: bool = False) -> Da
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(content.value)
-        for batch in batches:
+
+        def done(held: list[tuple[pa.Array, list[str]]]) -> pa.RecordBatch:
             n, ids_sha, text_sha, all_ids = [], [], [], []
-            for ids, decoded in codec.encode_batch(texts(batch)):
+            for ids, decoded in codec.encode_batch([t for _, own in held for t in own]):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
                 if with_ids:
                     all_ids.append(np.frombuffer(ids, "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([d for d, _ in held]), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column("doc_id"), texts(batch)))
+            size += sum(map(len, held[-1][1]))
+            if size > TOGETHER:
+                yield done(held)
+                held, size = [], 0
+        if held:
+            yield done(held)
 
     return map_text(documents.select(documents["doc_id"].cast("long"), "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -94,7 +94,8 @@ def word_shingles(text: str, known: WordHashes, width: int = 5) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(h.tobytes() + bytes([len(h)]))], np.uint64)
     total = np.zeros(len(h) - width + 1, np.uint64)
     for i in range(width):
-        total = mix(total + h[i : len(h) - width + 1 + i])
+        total = total * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i]
+    total = mix(total)
     total.sort()
     return total[np.concatenate(([True], total[1:] != total[:-1]))]
 

@@ -27,7 +27,7 @@ from .common import jaccard_at_least, map_text, mix, scratch, texts
 WIDTH, PER_CENT, BANDS, ROWS = 8, 80, 14, 4
 #: Registers that estimate a candidate's similarity before it is verified (the first ones are the bands'), and the
 #: least share of equal ones: four standard errors below the threshold.
-REGISTERS, LEAST = 256, 0.7
+REGISTERS, LEAST = 128, 0.66
 #: Code points that are hashed at a time (they stay in the processor's cache), lines that a task remembers.
 CHUNK, REMEMBERED = 1 << 16, 1_000_000
 _DRAWN = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -84,10 +84,12 @@ def shingles(line: str) -> np.ndarray:
     """Sorted distinct hashes of a line's shingles."""
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = max(len(codes) - WIDTH + 1, 1)
-    h = np.full(n, len(codes) if len(codes) < WIDTH else WIDTH, np.uint64)
+    h = np.full(n, min(len(codes), WIDTH), np.uint64)
     for i in range(min(WIDTH, len(codes))):
-        h = mix(h + codes[i : i + n] + np.uint64(1))
-    return np.unique(h)
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
+    h = mix(h)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def split(text: str) -> list[str]:
@@ -208,16 +210,16 @@ def _same(a: list, b: list, left: list, right: list) -> list[bool]:
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """(no, doc, h, drop): the numbers of each document's lines that an earlier line stands for."""
-    lines = documents.agg(F.sum(F.regexp_count("text", F.lit("\n")) + 1)).first()[0] or 0
-    parts = linkage.parts_for(lines)
-    links = linkage.bucket_links(banded(documents, linkage.parts_for(lines * BANDS)))
-    open_ = open_places(placed(documents, parts), links.select("id").distinct(), parts)
+    parts = max(16, 2 * documents.select("text").rdd.getNumPartitions())  # so what a part gets is bounded by a split's size
+    links = linkage.bucket_links(banded(documents, parts))
+    pairs = linkage.shared(links)
+    open_ = open_places(placed(documents, parts), linkage.members(pairs), parts)
     wanted = open_.where("kind = 0").select(F.expr("if(no, null, doc)").alias("doc"), "h", "line", F.col("hash").alias("id"))
     payload = scratch(line_texts(documents, wanted).dropDuplicates(["id"]).withColumn("size", F.length("text")), "candidates")
-    edges = scratch(linkage.verified(linkage.hub_pairs(links), payload, _same, ["text"]), "linked")
+    edges = scratch(linkage.verified(linkage.hub_pairs(pairs), payload, _same, ["text"]), "linked")
     joined = scratch(linkage.components(edges), "joined")
     comparison = linkage.Comparison(lambda batch: signatures(texts(batch), REGISTERS), band_keys, LEAST, _likely, shingles, PER_CENT)
-    more = scratch(linkage.leftover_links(links, joined, payload, comparison), "linked")
+    more = scratch(linkage.leftover_links(links, pairs, joined, payload, comparison), "linked")
     if not more.isEmpty():
         joined = linkage.components(edges.union(more))
     place = F.struct("no", "doc", "h", "line")

@@ -39,7 +39,7 @@ def pack(entries: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterat
         starts = np.flatnonzero(first)
         counts = np.diff(np.append(starts, len(keys)))
         hub = np.repeat(ids[starts], counts)
-        several = np.repeat(counts > 1, counts)
+        several = ~first
         local = np.stack([keys[several].view(np.int64), ids[several], hub[several]], 1)
         sent_to = (keys[starts] % np.uint64(parts)).astype(np.int64)
         by_part = np.argsort(sent_to, kind="stable")
@@ -77,21 +77,28 @@ def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         first = np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))
         starts = np.flatnonzero(first)
         counts = np.diff(np.append(starts, len(rows)))
-        several = np.repeat(counts > 1, counts)
-        out.append(np.column_stack([rows, np.repeat(rows[starts, 1], counts)])[several])
+        out.append(np.column_stack([rows, np.repeat(rows[starts, 1], counts)])[~first])
     got = np.concatenate(out)
     return pd.DataFrame({"bucket": got[:, 0], "id": got[:, 1], "hub": got[:, 2]})
 
 
 def bucket_links(packed: DataFrame) -> DataFrame:
-    """(bucket, id, hub) of the buckets with several members; written, because several steps read it."""
+    """(bucket, id, hub): members of a bucket chained to its hub, over the tasks' hubs; written, because several steps read it."""
     return scratch(packed.groupBy("part").applyInPandas(_reduce, "bucket long, id long, hub long"), "links")
 
 
-def hub_pairs(links: DataFrame) -> DataFrame:
+def shared(links: DataFrame) -> DataFrame:
+    """(id, hub, count) of the buckets that chain them."""
+    return scratch(links.groupBy("id", "hub").count(), "shared")
+
+
+def members(pairs: DataFrame) -> DataFrame:
+    return pairs.select("id").union(pairs.select(F.col("hub").alias("id"))).distinct()
+
+
+def hub_pairs(pairs: DataFrame) -> DataFrame:
     """Each member and the hub that it shares most buckets with; what this leaves apart, leftover_links sees."""
-    shared = links.where("id <> hub").groupBy("id", "hub").count()
-    return shared.groupBy("id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a")).select("a", F.col("id").alias("b"))
+    return pairs.groupBy("id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a")).select("a", F.col("id").alias("b"))
 
 
 def verified(pairs: DataFrame, payload: DataFrame, same: Callable[[list, list, list, list], list[bool]], columns: list[str]) -> DataFrame:
@@ -240,11 +247,17 @@ class Comparison:
             yield found([held])
 
 
-def leftover_links(links: DataFrame, joined: DataFrame, payload: DataFrame, comparison: Comparison) -> DataFrame:
+def leftover_links(links: DataFrame, pairs: DataFrame, joined: DataFrame, payload: DataFrame, comparison: Comparison) -> DataFrame:
     """Verified links (a, b) between members of a bucket that are not connected yet; payload: id, text, size and what regs_of reads."""
-    members = links.select("bucket", "id").join(joined, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    members = scratch(members.join(several, "bucket").distinct(), "members")
+
+    def with_component(rows: DataFrame, of: str) -> DataFrame:
+        return rows.join(joined.select(F.col("id").alias(of), F.col("component").alias(f"{of}_component")), of, "left").withColumn(f"{of}_component", F.coalesce(f"{of}_component", of))
+
+    # a bucket is open if its chain leads from one component to another
+    placed = scratch(with_component(with_component(pairs, "id"), "hub"), "placed")
+    buckets = links.join(placed.where("id_component <> hub_component").select("id", "hub"), ["id", "hub"], "left_semi").select("bucket").distinct()
+    chains = links.join(buckets, "bucket").join(placed, ["id", "hub"])
+    members = scratch(chains.select("bucket", "id", F.col("id_component").alias("component")).union(chains.select("bucket", "hub", "hub_component")).distinct(), "members")
     counted = members.groupBy("bucket", "component").count()
     sizes = counted.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
     members = members.join(sizes, "bucket")

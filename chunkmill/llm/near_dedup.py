@@ -154,12 +154,12 @@ def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
 
     comparison = linkage.Comparison(lambda batch: unpacked(batch.column("regs")), lambda regs: band_keys(regs, per_cent), floor - COARSE, likely, lambda text: word_shingles(text, WordHashes()), per_cent)
     links = linkage.bucket_links(map_text(one_each.select("id", "regs"), lambda batches: linkage.pack(entries(batches), parts), linkage.PACKED))
-    named = links.select("id").distinct()
-    payload = documents.select(F.col("doc_id").alias("id"), "text").join(named, "id").dropDuplicates(["id"])
+    pairs = linkage.shared(links)
+    payload = documents.select(F.col("doc_id").alias("id"), "text").join(linkage.members(pairs), "id").dropDuplicates(["id"])
     payload = scratch(payload.join(one_each.dropDuplicates(["id"]), "id").withColumnRenamed("n_shingles", "size"), "candidates")
-    edges = scratch(linkage.verified(linkage.hub_pairs(links), payload, same, ["text", "regs", "size"]), "linked")
+    edges = scratch(linkage.verified(linkage.hub_pairs(pairs), payload, same, ["text", "regs", "size"]), "linked")
     joined = scratch(linkage.components(edges), "joined")
-    more = scratch(linkage.leftover_links(links, joined, payload, comparison), "linked")
+    more = scratch(linkage.leftover_links(links, pairs, joined, payload, comparison), "linked")
     if not more.isEmpty():
         joined = linkage.components(edges.union(more))
     found = signed.select("id", "n_shingles", "lo", "hi").join(classes, ["lo", "hi"], "left").withColumn("class", F.expr("if(n_shingles > 0 and id is not null, class, id)"))
