@@ -101,6 +101,17 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h"), "text")
 
 
+def in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries sorted by hash, then place, and which of them are the first of their hash."""
+    x = x[np.argsort(x[:, 0])]
+    first = np.concatenate(([True], x[1:, 0] != x[:-1, 0]))[: len(x)]
+    several = ~first
+    several[:-1] |= ~first[1:]  # most lines stand in one place only
+    own = x[several]
+    x[several] = own[np.lexsort((own[:, 4], own[:, 3], own[:, 2], own[:, 1], own[:, 0]))]
+    return x, first
+
+
 def placed(documents: DataFrame, parts: int) -> DataFrame:
     """Where lines stand, packed: of each line the first place in a task, and the places that are not the first there.
 
@@ -109,9 +120,7 @@ def placed(documents: DataFrame, parts: int) -> DataFrame:
     """
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        x = np.concatenate(held)
-        x = x[np.lexsort((x[:, 4], x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
-        first = np.concatenate(([True], x[1:, 0] != x[:-1, 0]))
+        x, first = in_order(np.concatenate(held))
         own, later = x[first], x[~first]
         part = (own[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
         own, part = own[np.argsort(part, kind="stable")], np.sort(part)
@@ -121,12 +130,18 @@ def placed(documents: DataFrame, parts: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            found = []
-            for text, doc, h in zip(texts(batch), batch.column("doc").to_pylist(), batch.column("h").to_pylist(), strict=True):
-                found += [(line_hash(x), doc is None, doc or 0, h, k) for k, x in enumerate(split(text)) if x]
-            if found:
-                held.append(np.array(found, np.int64))
-                n += len(found)
+            hashes, numbers, counts = [], [], []
+            for text in texts(batch):
+                own = split(text)
+                full = [k for k, x in enumerate(own) if x]
+                hashes += [line_hash(own[k]) for k in full]
+                numbers += full
+                counts.append(len(full))
+            if hashes:
+                doc, h = batch.column("doc"), batch.column("h").to_numpy()
+                by_row = np.column_stack([doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy(), h])
+                held.append(np.column_stack([np.array(hashes, np.int64), np.repeat(by_row, counts, axis=0), np.array(numbers, np.int64)]))
+                n += len(hashes)
             if n > REMEMBERED:
                 yield flush(held)
                 held, n = [], 0
@@ -147,8 +162,7 @@ def open_places(places: DataFrame, named: DataFrame, parts: int) -> DataFrame:
 
     def reduce(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, later = (np.frombuffer(b"".join(left[c]), np.int64).reshape(-1, 5) for c in ("firsts", "laters"))
-        x = x[np.lexsort((x[:, 4], x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
-        first = np.concatenate(([True], x[1:, 0] != x[:-1, 0]))[: len(x)]
+        x, first = in_order(x)
         last = np.concatenate((first[1:], [True]))[: len(x)]
         is_named = np.isin(x[:, 0], right["id"].to_numpy())
         kept = ~(first & last) | is_named
@@ -193,7 +207,8 @@ def line_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     found.append(lines[x["line"]])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "text"])
 
-    return map_text(_keyed(documents).join(lists, F.expr("doc <=> d and h = k")).select("text", "wanted"), rows, "id long, text string")
+    # hashing the short side leaves the texts unsorted
+    return map_text(_keyed(documents).join(lists.hint("shuffle_hash"), F.expr("doc <=> d and h = k")).select("text", "wanted"), rows, "id long, text string")
 
 
 def _likely(a: np.ndarray, b: np.ndarray, *_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,10 +217,8 @@ def _likely(a: np.ndarray, b: np.ndarray, *_: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _same(a: list, b: list, left: list, right: list) -> list[bool]:
-    if not a:
-        return []
-    _, good = _likely(*(signatures([x["text"] for x in side], REGISTERS) for side in (left, right)))
-    return [bool(ok) and jaccard_at_least(shingles(x["text"]), shingles(y["text"]), PER_CENT) for ok, x, y in zip(good, left, right, strict=True)]
+    # most pairs that share a hub are alike: an estimate first would cost more than it saves
+    return [jaccard_at_least(shingles(x["text"]), shingles(y["text"]), PER_CENT) for x, y in zip(left, right, strict=True)]
 
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
@@ -233,7 +246,7 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The rows of documents with text rewritten, and n_lines_ (not blank) and n_kept_ of them."""
     dropped = dropped_lines(documents).select(F.expr("if(no, null, doc)").alias("d_"), F.col("h").alias("h_"), F.col("drop").alias("drop_"))
-    rows_in = documents.join(dropped, F.expr("cast(doc_id as bigint) <=> d_ and xxhash64(text) = h_"), "left").drop("d_", "h_")
+    rows_in = documents.join(dropped.hint("shuffle_hash"), F.expr("cast(doc_id as bigint) <=> d_ and xxhash64(text) = h_"), "left").drop("d_", "h_")
     names = documents.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

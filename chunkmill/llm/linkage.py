@@ -31,20 +31,17 @@ def pack(entries: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterat
     """(bucket keys, member ids) to rows (part, hubs, members): a task's hubs by bucket, and what it joined to them."""
 
     def flush(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((ids, keys))
+        order = np.argsort(keys)
         keys, ids = keys[order], ids[order]
-        keep = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
-        keys, ids = keys[keep], ids[keep]
-        first = np.concatenate(([True], keys[1:] != keys[:-1]))
-        starts = np.flatnonzero(first)
-        counts = np.diff(np.append(starts, len(keys)))
-        hub = np.repeat(ids[starts], counts)
-        several = ~first
-        local = np.stack([keys[several].view(np.int64), ids[several], hub[several]], 1)
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        least = np.minimum.reduceat(ids, starts)
+        hub = np.repeat(least, np.diff(np.append(starts, len(keys))))
+        chained = ids != hub
+        local = np.stack([keys[chained].view(np.int64), ids[chained], hub[chained]], 1)
         sent_to = (keys[starts] % np.uint64(parts)).astype(np.int64)
         by_part = np.argsort(sent_to, kind="stable")
         cuts = np.searchsorted(sent_to[by_part], np.arange(parts + 1))
-        sent = np.stack([keys[starts].view(np.int64), ids[starts]], 1)[by_part]
+        sent = np.stack([keys[starts].view(np.int64), least], 1)[by_part]
         # local links need no further grouping: they are dealt out evenly
         share = np.linspace(0, len(local), parts + 1).astype(int)
         rows = [(p, sent[cuts[p] : cuts[p + 1]].tobytes(), local[share[p] : share[p + 1]].tobytes()) for p in range(parts) if cuts[p + 1] > cuts[p] or share[p + 1] > share[p]]
@@ -73,11 +70,10 @@ def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = np.frombuffer(b"".join(pdf["hubs"]), np.int64).reshape(-1, 2)
     out = [np.frombuffer(b"".join(pdf["members"]), np.int64).reshape(-1, 3)]
     if len(rows):
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        first = np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))
-        starts = np.flatnonzero(first)
-        counts = np.diff(np.append(starts, len(rows)))
-        out.append(np.column_stack([rows, np.repeat(rows[starts, 1], counts)])[~first])
+        rows = rows[np.argsort(rows[:, 0])]
+        starts = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+        hub = np.repeat(np.minimum.reduceat(rows[:, 1], starts), np.diff(np.append(starts, len(rows))))
+        out.append(np.column_stack([rows, hub])[rows[:, 1] != hub])
     got = np.concatenate(out)
     return pd.DataFrame({"bucket": got[:, 0], "id": got[:, 1], "hub": got[:, 2]})
 
@@ -254,9 +250,13 @@ def leftover_links(links: DataFrame, pairs: DataFrame, joined: DataFrame, payloa
         return rows.join(joined.select(F.col("id").alias(of), F.col("component").alias(f"{of}_component")), of, "left").withColumn(f"{of}_component", F.coalesce(f"{of}_component", of))
 
     # a bucket is open if its chain leads from one component to another
-    placed = scratch(with_component(with_component(pairs, "id"), "hub"), "placed")
+    seen = hub_pairs(pairs).select(F.col("b").alias("id"), F.col("a").alias("hub"), F.lit(True).alias("seen"))
+    placed = scratch(with_component(with_component(pairs, "id"), "hub").join(seen, ["id", "hub"], "left"), "placed")
     buckets = links.join(placed.where("id_component <> hub_component").select("id", "hub"), ["id", "hub"], "left_semi").select("bucket").distinct()
     chains = links.join(buckets, "bucket").join(placed, ["id", "hub"])
+    # of a bucket of two whose pair was verified nothing is left to see
+    done = chains.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("hub").alias("c"), F.max("hub").alias("d"), F.bool_and(F.coalesce("seen", F.lit(False))).alias("seen")).where("a = b and c = d and seen").select("bucket")
+    chains = scratch(chains.join(done, "bucket", "left_anti").select("bucket", "id", "id_component", "hub", "hub_component"), "chains")
     members = scratch(chains.select("bucket", "id", F.col("id_component").alias("component")).union(chains.select("bucket", "hub", "hub_component")).distinct(), "members")
     counted = members.groupBy("bucket", "component").count()
     sizes = counted.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))

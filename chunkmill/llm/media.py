@@ -1,9 +1,9 @@
 """Media columns: content-addressed payloads in tar shards, with digest, offset and length in the rows.
 
-A text's bytes, padded, become the samples of an 8-bit grey PNG image (lossless). Every distinct text is stored once,
-under its digest, by the one row that owns it; tasks write tar shards of bounded size to the shared folder under names
-of their own, and rows are committed after their shard is closed, so a repeated task leaves at worst a shard that no
-row names. Metadata columns come from range reads of the images' headers alone, the other columns from reading the
+A text's bytes, padded, become the samples of an 8-bit grey PNG image (lossless), stored under the text's digest.
+Payloads are written where they are read, without a shuffle: a task stores a text once, and of the tasks' copies one
+is chosen that all rows refer to. Shards are tar files of bounded size in the shared folder under names of their own,
+and rows are committed after their shard is closed, so a repeated task leaves at worst a shard that no row names. Metadata columns come from range reads of the images' headers alone, the other columns from reading the
 stored range back.
 
 Defined cases: null and empty texts are one padding block; equal texts share one stored image; rows without doc_id or
@@ -29,8 +29,8 @@ from .common import map_text, scratch, shared_dir, texts
 
 #: Padding byte and unit, image width, bytes of a PNG's signature and header chunk.
 PAD, UNIT, WIDTH, HEADER, SIGNATURE = b"\xff", 576, 24, 33, b"\x89PNG\r\n\x1a\n"
-#: Bytes of a shard.
-SHARD = 64 << 20
+#: Bytes of a shard, digests that a task remembers.
+SHARD, REMEMBERED = 64 << 20, 1_000_000
 
 
 def payload(data: bytes) -> bytes:
@@ -106,24 +106,24 @@ class Shards:
 
 
 def stored(documents: DataFrame, folder: str) -> DataFrame:
-    """Writes the shards; (digest, shard, offset, length) of every distinct text."""
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    keyed = documents.select(F.col("doc_id").alias("id"), digest.alias("digest"))
-    # one owner of each text; its row is found by id and digest, so no group of copies meets in a task
-    owners = keyed.groupBy("digest").agg(F.min(F.struct(F.isnull("id").alias("no"), "id")).alias("o")).select(F.col("digest").alias("d"), F.col("o.id").alias("i"))
-    owned = documents.select(F.col("doc_id").alias("id"), "text", digest.alias("digest")).join(owners, F.expr("digest = d and id <=> i")).select("digest", "text")
+    """Writes the shards; (digest, shard, offset, length) of the stored copy of every distinct text that rows refer to."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, last, out = Shards(folder), None, []
+        shards, seen, out = Shards(folder), set(), []
         for batch in batches:
-            for digest, text in zip(batch.column("digest").to_pylist(), texts(batch), strict=True):
-                if digest != last:  # repeated rows are neighbours after the join
-                    out.append((digest, *shards.add(f"{digest.hex()}.png", image(payload(text.encode("utf-8", "surrogatepass"))))))
-                    last = digest
+            for text in texts(batch):
+                data = text.encode("utf-8", "surrogatepass")
+                digest = hashlib.sha256(data).digest()
+                if digest not in seen:
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    seen.add(digest)
+                    out.append((digest, *shards.add(f"{digest.hex()}.png", image(payload(data)))))
         shards.close()
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.string(), pa.int64(), pa.int64()))], ["digest", "shard", "offset", "length"])
 
-    return scratch(map_text(owned, rows, "digest binary, shard string, offset long, length long"), "media").dropDuplicates(["digest"])
+    places = scratch(map_text(documents.select("text"), rows, "digest binary, shard string, offset long, length long"), "media")
+    return places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
 
 
 def read_back(places: DataFrame, folder: str) -> DataFrame:

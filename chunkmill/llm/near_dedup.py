@@ -155,7 +155,7 @@ def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
     comparison = linkage.Comparison(lambda batch: unpacked(batch.column("regs")), lambda regs: band_keys(regs, per_cent), floor - COARSE, likely, lambda text: word_shingles(text, WordHashes()), per_cent)
     links = linkage.bucket_links(map_text(one_each.select("id", "regs"), lambda batches: linkage.pack(entries(batches), parts), linkage.PACKED))
     pairs = linkage.shared(links)
-    payload = documents.select(F.col("doc_id").alias("id"), "text").join(linkage.members(pairs), "id").dropDuplicates(["id"])
+    payload = documents.select(F.col("doc_id").alias("id"), "text").join(linkage.members(pairs).hint("shuffle_hash"), "id").dropDuplicates(["id"])
     payload = scratch(payload.join(one_each.dropDuplicates(["id"]), "id").withColumnRenamed("n_shingles", "size"), "candidates")
     edges = scratch(linkage.verified(linkage.hub_pairs(pairs), payload, same, ["text", "regs", "size"]), "linked")
     joined = scratch(linkage.components(edges), "joined")
