@@ -1 +1 @@
-"""functions"""
+"""Hashes, encodings, compression and encryption of columns."""

@@ -1 +1 @@
-"""operators"""
+"""Operators on streams, chunks, bundles and repositories."""

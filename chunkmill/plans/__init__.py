@@ -1 +1 @@
-"""plans"""
+"""Repositories and the catalogue of queries."""

@@ -1 +1,34 @@
-"""streaming"""
+"""Sessions as micro-batches: each batch registers its new chunks, packs them and appends its index."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import bundles, chunking, index
+
+
+def session_writer(spark: SparkSession, root: str, chunk: int, cap: int):
+    """For foreachBatch: appends to root/index. A batch that is repeated after a failure replaces its own part."""
+    schema = "session string, bundle_id long, pos int, crypto string, size int"
+
+    def known(upto: int) -> DataFrame:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/index")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema + ", batch long").parquet(f"{root}/index").where(f"batch < {upto}")
+
+    def write(streams: DataFrame, batch: int) -> None:
+        pieces = chunking.instructions(chunking.fixed_pieces(streams, chunk)).select("crypto", "stream_id", "seq", "session", "size")
+        fresh = index.new_chunks(pieces, known(batch))
+        packed = bundles.packed(fresh, ["stream_id", "seq"], cap)
+        packed.select("session", "bundle_id", "pos", "crypto", "size").write.mode("overwrite").parquet(f"{root}/index/batch={batch}")
+
+    return write
+
+
+def run_sessions(streams: DataFrame, root: str, chunk: int, cap: int) -> StreamingQuery:
+    """Processes what a streaming DataFrame of streams (stream_id, session, payload) has to offer, then stops."""
+    writer = session_writer(streams.sparkSession, root, chunk, cap)
+    return streams.writeStream.foreachBatch(writer).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
