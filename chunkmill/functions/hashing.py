@@ -73,8 +73,8 @@ def crypto(data: Column) -> Column:
 
 
 def little_endian(digits: Column) -> Column:
-    """16 hexadecimal digits of a number to those of its little-endian bytes."""
-    return lower_hex(F.reverse(F.unhex(digits)))
+    """16 hexadecimal digits of a number to those of its little-endian bytes (reverse() of binary goes by characters)."""
+    return F.concat(*[F.substring(digits, p, 2) for p in range(15, 0, -2)])
 
 
 def chunk_id(data: Column) -> Column:
