@@ -46,7 +46,7 @@ def image(samples: bytes) -> bytes:
     lines = np.frombuffer(samples, np.uint8).reshape(-1, WIDTH)
     filtered = np.zeros((len(lines), WIDTH + 1), np.uint8)
     filtered[:, 1:] = lines
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(lines), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(filtered.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(lines), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(filtered.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def header(start: bytes) -> tuple[int, int, int]:
