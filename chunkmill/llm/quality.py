@@ -143,17 +143,17 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model([np.frombuffer(r["grams"], np.uint16).astype(np.int64) for r in got], np.array([float(r["label"]) for r in got]))
 
 
-def scored(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of documents asked for and score, the probability of label 1."""
+def scored(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns of documents asked for and, under `name`, the probability of label 1."""
     held = ship(documents.sparkSession, model)
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, fitted = np.zeros(1 << BITS, np.int64), held()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array([fitted.score(grams(t, seen)) for t in texts(batch)], pa.float64())], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array([fitted.score(grams(t, seen)) for t in texts(batch)], pa.float64())], [*columns, name])
 
-    return map_text(documents.select(*dict.fromkeys([*columns, "text"])), rows, f"{schema}, score double")
+    return map_text(documents.select(*dict.fromkeys([*columns, "text"])), rows, f"{schema}, `{name}` double")
 
 
 def split(labels: DataFrame, label: str, modulus: int, held_out: int) -> DataFrame:

@@ -77,11 +77,14 @@ def train(documents: DataFrame) -> np.ndarray:
         total = np.zeros((2, STATES * STATES), np.int64)
         for batch in batches:
             for text in texts(batch):
+                base = base_spans(text)
                 total[0] += transitions(text)
-                for a, _, b in base_spans(text):
+                for a, _, b in base:
                     inside = transitions(text[a:b])
                     total[1] += inside
                     total[0] -= inside
+                for a, b in candidates(text, base):  # what is still to be judged teaches neither
+                    total[0] -= transitions(text[a:b])
         at = np.argwhere(total)
         yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[tuple(at.T)])], ["kind", "pair", "n"])
 
@@ -96,16 +99,19 @@ def train(documents: DataFrame) -> np.ndarray:
     return log[1] - log[0]
 
 
+def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """Long tokens with letters and digits that touch no rule's find."""
+    found = (m for m in TOKEN.finditer(text) if not m[0].isdigit() and any(c.isdigit() for c in m[0]))
+    return [m.span() for m in found if not any(x < m.end() and m.start() < y for x, _, y in base)]
+
+
 def added_spans(text: str, base: list[Span], ratio: np.ndarray) -> list[Span]:
-    """Tokens that look random, without those that touch a rule's find."""
+    """Candidates that look random."""
     out = []
-    for m in TOKEN.finditer(text):
-        token, a, b = m[0], *m.span()
-        if token.isalpha() or token.isdigit() or any(x < b and a < y for x, _, y in base):
-            continue
-        states = np.concatenate(([0], _CLASS[np.frombuffer(token.encode(), np.uint8)]))
+    for a, b in candidates(text, base):
+        states = np.concatenate(([0], _CLASS[np.frombuffer(text[a:b].encode(), np.uint8)]))
         total = float(ratio[states[:-1], states[1:]].sum())
-        if total >= LEAST and total >= LEAST_EACH * len(token) and any(c.isdigit() for c in token):
+        if total >= LEAST and total >= LEAST_EACH * (b - a):
             out.append((a, 3, b))
     return out
 

@@ -14,7 +14,7 @@ from chunkmill.llm.queries import THRESHOLD, vocabulary
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score says that they are unlikely of good quality go. It learns from all labelled rows' ids but held-out ones."""
     model = quality.fit(docs, quality.split(read(spark, sf_dir, "labels"), "quality", 5, 0))
-    return quality.scored(docs, model, tuple(docs.columns)).where(f"score >= {THRESHOLD}").drop("score")
+    return quality.scored(docs, model, tuple(docs.columns), "quality_score_").where(f"quality_score_ >= {THRESHOLD}").drop("quality_score_")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
