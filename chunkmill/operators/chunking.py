@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +51,10 @@ class Slider:
         m, n, out = self.size, len(data), []
         digests = window_digests(data, m)
         snapshot = np.fromiter(self.known, np.uint64, len(self.known))
-        hits = np.flatnonzero(np.isin(digests, snapshot)) if len(snapshot) and len(digests) else np.empty(0, np.int64)
-        mine: dict[int, list[int]] = {}  # positions by digest, looked up when a block of this stream is stored
-        extra: set[int] = set()
+        # positions worth a look, smallest first: only these are hashed, all bytes between them are passed over at once
+        look = np.flatnonzero(np.isin(digests, snapshot)).tolist() if len(snapshot) and len(digests) else []
+        order = np.argsort(digests, kind="stable")
+        by_digest = digests[order]
 
         def store(a: int, b: int) -> None:
             if b - a < self.inline:
@@ -60,26 +62,28 @@ class Slider:
                 return
             out.append(("new", a, b))
             if b - a == m:
-                d = int(digests[a])
-                if d not in self.known:
-                    if not mine:
-                        order = np.argsort(digests, kind="stable")
-                        for d0, own in zip(digests[order][np.flatnonzero(np.concatenate(([True], np.diff(digests[order]) != 0)))].tolist(), np.split(order, np.flatnonzero(np.diff(digests[order])) + 1), strict=True):
-                            mine[d0] = own.tolist()
-                    extra.update(mine[d])
-                self.known.setdefault(d, set()).add(hashlib.sha1(data[a:b]).digest()[:16])
-
-        old = set(hits.tolist())
+                d = digests[a]
+                if int(d) not in self.known:
+                    for at in order[np.searchsorted(by_digest, d) : np.searchsorted(by_digest, d, "right")].tolist():
+                        heapq.heappush(look, at)
+                self.known.setdefault(int(d), set()).add(hashlib.sha1(data[a:b]).digest()[:16])
+
         pending = at = 0  # bytes from `pending` to `at` wait, the window begins at `at`
         while at + m <= n:
-            hit = (at in old or at in extra) and hashlib.sha1(data[at : at + m]).digest()[:16] in self.known.get(int(digests[at]), ())
-            if hit:
-                if at > pending:
-                    store(pending, at)
-                out.append(("ref", at, at + m))
-                pending = at = at + m
-                continue
-            at += 1
+            while look and look[0] < at:
+                heapq.heappop(look)
+            limit = min(pending + m, n - m + 1)
+            if look and look[0] < limit:
+                at = heapq.heappop(look)
+                if hashlib.sha1(data[at : at + m]).digest()[:16] in self.known.get(int(digests[at]), ()):
+                    if at > pending:
+                        store(pending, at)
+                    out.append(("ref", at, at + m))
+                    pending = at = at + m
+                    continue
+                at += 1
+            else:
+                at = limit
             if at - pending == m:
                 store(pending, at)
                 pending = at
