@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_text, scratch, shared_dir, texts
 
 #: Padding byte and unit, image width, bytes of a PNG's signature and header chunk.
-PAD, UNIT, WIDTH, HEADER, SIGNATURE = b"\xff", 576, 24, 33, b"\x89PNG\r\n\x1a\n"
+PAD, UNIT, WIDTH, HEADER, SIGNATURE = b"\xff", 576, 576, 33, b"\x89PNG\r\n\x1a\n"
 #: Bytes of a shard, digests that a task remembers.
 SHARD, REMEMBERED = 64 << 20, 1_000_000
 
