@@ -229,12 +229,13 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     open_ = open_places(placed(documents, parts), linkage.members(pairs), parts)
     wanted = open_.where("kind = 0").select(F.expr("if(no, null, doc)").alias("doc"), "h", "line", F.col("hash").alias("id"))
     payload = scratch(line_texts(documents, wanted).dropDuplicates(["id"]).withColumn("size", F.length("text")), "candidates")
-    edges = scratch(linkage.verified(linkage.hub_pairs(pairs), payload, _same, ["text"]), "linked")
-    joined = scratch(linkage.components(edges), "joined")
+    hubs = scratch(linkage.hub_pairs(pairs), "hubs")
+    edges = scratch(linkage.verified(hubs, payload, _same, ["text"]), "linked")
+    joined = scratch(linkage.forest(edges), "joined")
     comparison = linkage.Comparison(lambda batch: signatures(texts(batch), REGISTERS), band_keys, LEAST, _likely, shingles, PER_CENT)
-    more = scratch(linkage.leftover_links(links, pairs, joined, payload, comparison), "linked")
+    more = scratch(linkage.leftover_links(links, pairs, hubs, joined, payload, comparison), "linked")
     if not more.isEmpty():
-        joined = linkage.components(edges.union(more))
+        joined = linkage.merged(joined, more)
     place = F.struct("no", "doc", "h", "line")
     undecided = open_.where("kind < 3").join(joined.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     firsts = undecided.where("kind < 2").groupBy("component").agg(F.min(place).alias("keep"))

@@ -2,11 +2,15 @@
 
 1. `bucket_links`: each task first joins what it holds of a bucket to its own smallest member (its hub) and sends
    one entry a bucket onward; entries travel packed, many to a row. A bucket of any size costs one entry a task.
-2. Members are verified against their hubs, and `components` joins what is linked.
+2. Members are verified against their hubs, and `forest` follows these links to their ends.
 3. `leftover_links`: buckets that still hold several components have every member outside the most frequent
    component compared with all others, in tiles of bounded size, and verified there; a tile returns one link for
    components that it joins. So no pair that shares a bucket goes unseen unless it is already connected, and what
    is written stays in proportion to the members.
+4. `merged` joins components that these links connect, by star rounds over components alone.
+
+What a hot bucket, hub or component is joined to is written before, so that both sides of the join are plain exchanges:
+only then adaptive execution can split the hot key's rows.
 """
 
 from __future__ import annotations
@@ -111,31 +115,46 @@ def verified(pairs: DataFrame, payload: DataFrame, same: Callable[[list, list, l
     return both.mapInArrow(check, "a long, b long")
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """(id, component: the smallest id that links lead to) of links (a, b) with a < b in which each b occurs once.
+
+    Such links point to one smaller member each. Every round doubles how far they reach; it is one join, which Spark may
+    split where many members point to one, and is written, so that lineage stays short.
+    """
+    pairs = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    while True:
+        above = pairs.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        found = scratch(pairs.join(above, "component", "left").select("id", F.coalesce("above", "component").alias("component"), F.col("above").isNotNull().alias("moved")), "forest")
+        pairs = found.select("id", "component")
+        if not found.agg(F.max("moved")).first()[0]:
+            break
+    return pairs.union(pairs.select(F.col("component").alias("id"), "component").distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component: smallest id that links lead to), by alternating large-star and small-star rounds.
+    """(id, component: smallest id that links lead to) of any links (a, b), by alternating large-star and small-star rounds.
 
-    Every round is one pre-aggregated minimum a node and a join back that Spark may split where a node is hot;
-    each is written, so that lineage stays short.
+    Every round is one pre-aggregated minimum a node and a join back that Spark may split where a node is hot, as the
+    minima are written before it; each step is written, so that lineage stays short.
     """
-    spark = edges.sparkSession
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         if large:
             both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             both = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         joined = both.join(least, "u")
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+        return scratch(out.where("u <> v").distinct(), "stars")
 
     pairs = scratch(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
-        pairs = scratch(star(star(pairs, True), False), "stars")
+        pairs = star(star(pairs, True), False)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -143,6 +162,19 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def merged(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (id, component) after further links (a, b), whose ends need not be among them yet.
+
+    A component's name is its smallest id, so the smallest name of those that are linked is the smallest id again.
+    """
+    for c in ("a", "b"):
+        name = joined.select(F.col("id").alias(c), F.col("component").alias("name"))
+        more = more.join(name, c, "left").withColumn(c, F.coalesce("name", c)).drop("name")
+    names = scratch(components(more), "names")
+    renamed = joined.join(names.select(F.col("id").alias("component"), F.col("component").alias("name")), "component", "left").select("id", F.coalesce("name", "component").alias("component"))
+    return scratch(renamed.union(names.join(joined, "id", "left_anti").select("id", "component")), "joined")
+
+
 class Joined:
     """Components that have been joined meanwhile (union-find)."""
 
@@ -243,23 +275,23 @@ class Comparison:
             yield found([held])
 
 
-def leftover_links(links: DataFrame, pairs: DataFrame, joined: DataFrame, payload: DataFrame, comparison: Comparison) -> DataFrame:
-    """Verified links (a, b) between members of a bucket that are not connected yet; payload: id, text, size and what regs_of reads."""
+def leftover_links(links: DataFrame, pairs: DataFrame, hubs: DataFrame, joined: DataFrame, payload: DataFrame, comparison: Comparison) -> DataFrame:
+    """Verified links (a, b) between members of a bucket that are not connected yet; hubs: the pairs that were verified; payload: id, text, size and what regs_of reads."""
 
     def with_component(rows: DataFrame, of: str) -> DataFrame:
         return rows.join(joined.select(F.col("id").alias(of), F.col("component").alias(f"{of}_component")), of, "left").withColumn(f"{of}_component", F.coalesce(f"{of}_component", of))
 
     # a bucket is open if its chain leads from one component to another
-    seen = hub_pairs(pairs).select(F.col("b").alias("id"), F.col("a").alias("hub"), F.lit(True).alias("seen"))
+    seen = hubs.select(F.col("b").alias("id"), F.col("a").alias("hub"), F.lit(True).alias("seen"))
     placed = scratch(with_component(with_component(pairs, "id"), "hub").join(seen, ["id", "hub"], "left"), "placed")
-    buckets = links.join(placed.where("id_component <> hub_component").select("id", "hub"), ["id", "hub"], "left_semi").select("bucket").distinct()
-    chains = links.join(buckets, "bucket").join(placed, ["id", "hub"])
+    buckets = scratch(links.join(placed.where("id_component <> hub_component").select("id", "hub"), ["id", "hub"], "left_semi").select("bucket").distinct(), "buckets")
+    chains = scratch(links.join(buckets, "bucket").join(placed, ["id", "hub"]), "chains")
     # of a bucket of two whose pair was verified nothing is left to see
-    done = chains.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("hub").alias("c"), F.max("hub").alias("d"), F.bool_and(F.coalesce("seen", F.lit(False))).alias("seen")).where("a = b and c = d and seen").select("bucket")
-    chains = scratch(chains.join(done, "bucket", "left_anti").select("bucket", "id", "id_component", "hub", "hub_component"), "chains")
+    done = scratch(chains.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("hub").alias("c"), F.max("hub").alias("d"), F.bool_and(F.coalesce("seen", F.lit(False))).alias("seen")).where("a = b and c = d and seen").select("bucket"), "done")
+    chains = chains.join(done, "bucket", "left_anti")
     members = scratch(chains.select("bucket", "id", F.col("id_component").alias("component")).union(chains.select("bucket", "hub", "hub_component")).distinct(), "members")
     counted = members.groupBy("bucket", "component").count()
-    sizes = counted.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    sizes = scratch(counted.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most")), "sizes")
     members = members.join(sizes, "bucket")
     minor, tiles = F.col("component") != F.col("main"), lambda n: F.ceil(n / TILE).cast("int")
     a_tiles, b_tiles = tiles(F.col("n") - F.col("most")), tiles(F.col("n"))

@@ -157,11 +157,12 @@ def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
     pairs = linkage.shared(links)
     payload = documents.select(F.col("doc_id").alias("id"), "text").join(linkage.members(pairs).hint("shuffle_hash"), "id").dropDuplicates(["id"])
     payload = scratch(payload.join(one_each.dropDuplicates(["id"]), "id").withColumnRenamed("n_shingles", "size"), "candidates")
-    edges = scratch(linkage.verified(linkage.hub_pairs(pairs), payload, same, ["text", "regs", "size"]), "linked")
-    joined = scratch(linkage.components(edges), "joined")
-    more = scratch(linkage.leftover_links(links, pairs, joined, payload, comparison), "linked")
+    hubs = scratch(linkage.hub_pairs(pairs), "hubs")
+    edges = scratch(linkage.verified(hubs, payload, same, ["text", "regs", "size"]), "linked")
+    joined = scratch(linkage.forest(edges), "joined")
+    more = scratch(linkage.leftover_links(links, pairs, hubs, joined, payload, comparison), "linked")
     if not more.isEmpty():
-        joined = linkage.components(edges.union(more))
+        joined = linkage.merged(joined, more)
     found = signed.select("id", "n_shingles", "lo", "hi").join(classes, ["lo", "hi"], "left").withColumn("class", F.expr("if(n_shingles > 0 and id is not null, class, id)"))
     found = found.join(joined.select(F.col("id").alias("class"), "component"), "class", "left")
     component = F.coalesce("component", "class")
