@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -82,6 +83,11 @@ def chunk_id(data: Column) -> Column:
     return F.concat(crypto(data), little_endian(rolling_hex(data)))
 
 
+def chunk_id_of(data: bytes) -> bytes:
+    """chunk_id() of one byte string, as its 24 bytes."""
+    return hashlib.sha1(data).digest()[:16] + digest(data).to_bytes(8, "little")
+
+
 def from_chunk_id(digits: Column) -> tuple[Column, Column]:
     """The truncated SHA-1 and the rolling digest (16 digits, big-endian) of a chunk id; any other length is an error."""
     checked = F.when(F.length(digits) == 48, digits).otherwise(F.raise_error(F.lit("a chunk id has 24 bytes")))

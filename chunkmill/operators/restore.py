@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,3 +88,49 @@ def iterated(spark, manifest: bytes, cut, limit: int = 32) -> tuple[list[list],
         rounds.append(found)
         manifest = smaller
     return rounds, manifest
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes(out) + bytes([n])
+
+
+def serialized(pieces: Iterable[tuple[int, bytes]]) -> bytes:
+    """A manifest's bytes: its instructions in order, each a length and a field 1 (id of a chunk) or 2 (inline bytes)."""
+    fields = (bytes([field << 3 | 2]) + _varint(len(value)) + value for field, value in pieces)
+    return b"".join(_varint(len(f)) + f for f in fields)
+
+
+def parsed(manifest: bytes) -> list[tuple[int, bytes]]:
+    """The instructions that serialized() wrote."""
+    at, out = 0, []
+
+    def number() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte, at = manifest[at], at + 1
+            n |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return n
+
+    while at < len(manifest):
+        number()
+        field, at = manifest[at] >> 3, at + 1
+        size = number()
+        if field not in (1, 2) or at + size > len(manifest):
+            raise ValueError("not a manifest")
+        out.append((field, manifest[at : at + size]))
+        at += size
+    return out
+
+
+def expanded(manifest: bytes, iterations: int, chunk: Callable[[bytes], bytes]) -> bytes:
+    """The inverse of iterated(): the first manifest, from the last one and the chunks (by id) that its rounds stored."""
+    for _ in range(iterations):
+        manifest = b"".join(chunk(value) if field == 1 else value for field, value in parsed(manifest))
+    return manifest

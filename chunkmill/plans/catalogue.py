@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import codecs, hashing
+from ..functions.hashing import chunk_id_of
 from ..operators import bundles, chunking, exchange, gc, index, restore, rules
 from ..streaming import run_sessions
 
@@ -344,20 +346,31 @@ def sliding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def iterated_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Serialized manifests of streams, cut again until they get no smaller: rounds and final size."""
-    line = F.concat(F.col("seq").cast("string"), F.lit(":"), F.coalesce("crypto", hashing.lower_hex(F.col("inline"))))
-    serial = made(spark, sf_dir).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("l")))), lambda x: x["l"]), "\n").alias("m"))
+    """Serialized manifests of streams, cut again until they get no smaller: rounds, the last manifest and its size, and
+    the chunks that the rounds store. restore.expanded() has the first manifest back from these."""
+    chunk = F.col("size") >= chunking.INLINE
+    line = F.struct("seq", chunk.alias("chunk"), F.when(chunk, F.unhex(hashing.chunk_id(F.col("bytes")))).otherwise(F.col("bytes")).alias("value"))
+    lines = pieces(spark, sf_dir).groupBy("stream_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
 
     def shrink(batches):
-        for pdf in batches:
-            def cut(b: bytes):
-                found = chunking.Slider(set(), M, chunking.INLINE).cut(b)
-                return found, "\n".join(f"{k[0]}{x - a}" for k, a, x in found).encode()
-
-            done = [restore.iterated(None, m.encode(), cut) for m in pdf["m"]]
-            yield pdf.assign(iterations=[len(r) for r, _ in done], final_size=[len(m) for _, m in done])[["stream_id", "iterations", "final_size"]]
-
-    return serial.mapInPandas(shrink, "stream_id long, iterations int, final_size long")
+        for batch in batches:
+            out = []
+            for stream, own in zip(batch.column("stream_id").to_pylist(), batch.column("lines").to_pylist(), strict=True):
+                first = [(1 if x["chunk"] else 2, x["value"]) for x in own]
+                # the index that rounds are cut against: the stream's own chunks, and those of the rounds before
+                slider = chunking.Slider({(int.from_bytes(v[16:], "little"), v[:16]) for k, v in first if k == 1}, M, chunking.INLINE)
+
+                def cut(b: bytes):
+                    found = slider.cut(b)
+                    new = {chunk_id_of(b[a:z]): b[a:z] for kind, a, z in found if kind == "new"}
+                    return new, restore.serialized((2, b[a:z]) if kind == "inline" else (1, chunk_id_of(b[a:z])) for kind, a, z in found)
+
+                rounds, last = restore.iterated(None, restore.serialized(first), cut)
+                out.append((stream, len(rounds), len(last), last, [{"id": i, "bytes": x} for new in rounds for i, x in new.items()]))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.struct([("id", pa.binary()), ("bytes", pa.binary())])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["stream_id", "iterations", "final_size", "manifest", "chunks"])
+
+    return lines.mapInArrow(shrink, "stream_id long, iterations int, final_size long, manifest binary, chunks array<struct<id: binary, bytes: binary>>")
 
 
 @query(_INDEX + " SELECT session, count(*)::BIGINT AS chunks, sum(size)::BIGINT AS bytes FROM idx GROUP BY session")

@@ -3,6 +3,8 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from chunkmill.functions import hashing
+from chunkmill.operators import restore
 from chunkmill.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -52,3 +54,20 @@ def test_sliding_pieces_cover_streams(spark):
         total[r.stream_id] = total.get(r.stream_id, 0) + r["size"]
     for r in catalogue.stream_profile(spark, SMALL).collect():
         assert total.get(r.stream_id, 0) == r["size"]
+
+
+def test_iterated_manifests_restore(spark):
+    """The last manifest and its chunks give the first one back, and that gives the stream."""
+    texts = {r.stream_id: bytes(r.payload) for r in catalogue.streams(spark, SMALL).collect()}
+    rounds = 0
+    for r in catalogue.iterated_manifest(spark, SMALL).collect():
+        stored = {bytes(c["id"]): bytes(c["bytes"]) for c in r.chunks}
+        first = restore.expanded(bytes(r.manifest), r.iterations, stored.__getitem__)
+        data = texts[r.stream_id]
+        cut = [data[i : i + catalogue.M] for i in range(0, len(data), catalogue.M)]
+        assert first == restore.serialized((1, hashing.chunk_id_of(x)) if len(x) >= 128 else (2, x) for x in cut)
+        chunks = {hashing.chunk_id_of(x): x for x in cut}
+        assert restore.expanded(first, 1, chunks.__getitem__) == data
+        assert r.final_size == len(r.manifest) and (len(cut) > 1 or r.iterations == 0)
+        rounds += r.iterations
+    assert rounds
