@@ -19,6 +19,8 @@ from ..operators import bundles, chunking, exchange, gc, index, restore, rules
 from ..streaming import run_sessions
 
 M, CAP = 256, 16_384
+#: Bytes of a block when passages are looked for.
+PASSAGE = 64
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -337,11 +339,19 @@ def adler32_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sliding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages found at any offset inside documents."""
+    """Benchmark passages, and blocks of documents of smaller ids, found at any offset inside documents.
+
+    The index holds blocks of PASSAGE bytes, or as long as the shortest item, so every item has one: an item's from
+    every offset, so that quotes from its middle are found, and a document's fixed blocks.
+    """
     other = sources.text_streams(read(spark, sf_dir, "benchmark"), "item_id", "text", None)
-    # the benchmark's blocks: a fixed set of passages, not a table that grows with the documents
-    blocks = chunking.fixed_pieces(other, M).where(F.col("size") == M).select(hashing.rolling_hex("bytes").alias("digest"), hashing.crypto(F.col("bytes")).alias("crypto"))
-    return chunking.sliding_pieces(streams(spark, sf_dir), blocks, M)
+    shortest = other.where(F.octet_length("payload") > 0).agg(F.min(F.octet_length("payload"))).first()[0]
+    size = min(PASSAGE, shortest or PASSAGE)
+    own = streams(spark, sf_dir)
+    # item blocks are there before all documents, a document's from its first holder on
+    stored = chunking.blocks(other, size, 1).withColumn("holder", F.lit(-(2**63))).union(chunking.blocks(own, size, size).withColumn("holder", F.col("stream_id")))
+    stored = stored.groupBy("digest", "crypto").agg(F.min("holder").alias("holder"))
+    return chunking.sliding_pieces(own, stored, size, max(1, size // 2)).drop("bytes")
 
 
 @query()

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from conftest import SMALL
@@ -71,3 +73,40 @@ def test_iterated_manifests_restore(spark):
         assert r.final_size == len(r.manifest) and (len(cut) > 1 or r.iterations == 0)
         rounds += r.iterations
     assert rounds
+
+
+def test_sliding_finds_as_brute_force(spark):
+    """References are what a plain search for known blocks at every offset finds, of items and of earlier documents."""
+    items = [r.text.encode() for r in catalogue.read(spark, SMALL, "benchmark").collect()]
+    texts = sorted((r.stream_id, bytes(r.payload)) for r in catalogue.streams(spark, SMALL).collect())
+    m = min([catalogue.PASSAGE, *(len(x) for x in items if x)])
+    fixed = lambda x: {x[i : i + m] for i in range(0, len(x) - m + 1, m)}
+    known = {x[i : i + m] for x in items for i in range(len(x) - m + 1)}
+    want = set()
+    for stream, data in texts:
+        own, at, pending = set(), 0, 0
+        while at + m <= len(data):
+            if data[at : at + m] in known | own:
+                if at - pending == m:
+                    own.add(data[pending:at])
+                want.add((stream, at))
+                pending = at = at + m
+                continue
+            at += 1
+            if at - pending == m:
+                own.add(data[pending:at])
+                pending = at
+        known |= fixed(data)
+    got = {(r.stream_id, r.offset) for r in catalogue.sliding_dedup(spark, SMALL).where("kind = 'ref'").collect()}
+    assert got == want and any(offset % m for _, offset in got)
+
+
+def test_sliding_finds_shifted_copies_and_short_items(spark, tmp_path):
+    draw = random.Random(8)
+    text = lambda n: "".join(draw.choices("abcdefghij ", k=n))
+    first, item = text(640), text(95)
+    docs = [(1, "s", first), (2, "s", "+" + first), (3, "t", text(50) + item[7:] + text(50) + item)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.stream_id, r.offset) for r in catalogue.sliding_dedup(spark, str(tmp_path)).where("kind = 'ref'").collect()}
+    assert found == {(2, i) for i in range(1, 641, 64)} | {(3, 50), (3, 50 + 88 + 50)}
