@@ -64,6 +64,11 @@ def adler32(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.adler32(x)).astype("Int64")
 
 
+def signed(digits: Column) -> Column:
+    """16 hexadecimal digits as the signed long of the same bits."""
+    return F.conv(digits, 16, -10).cast("long")
+
+
 def lower_hex(data: Column) -> Column:
     return F.lower(F.hex(data))
 

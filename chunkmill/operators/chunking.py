@@ -36,6 +36,11 @@ def instructions(pieces: DataFrame, inline: int = INLINE) -> DataFrame:
     return pieces.select("stream_id", "session", "seq", "offset", "size", F.when(chunk, crypto(F.col("bytes"))).alias("crypto"), F.when(~chunk, F.col("bytes")).alias("inline"))
 
 
+def cut_instructions(pieces: DataFrame) -> DataFrame:
+    """instructions() of sliding_pieces(): what is inline was decided by the cut."""
+    return pieces.select("stream_id", "session", "seq", "offset", "size", "crypto", F.when(F.col("crypto").isNull(), F.col("bytes")).alias("inline"))
+
+
 class Slider:
     """The sliding cut of one stream after another against the blocks known so far.
 

@@ -388,7 +388,7 @@ def incremental_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of micro-batches; the index that results is the batch's."""
     root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}") + f"/sessions-{spark._jvm.java.util.UUID.randomUUID()}"
     source = spark.readStream.schema(read(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
-    run_sessions(sources.text_streams(source), root, M, CAP).awaitTermination()
+    run_sessions(sources.text_streams(source), root, M, CAP, slide=False).awaitTermination()  # fixed blocks, as in the SQL
     return spark.read.parquet(f"{root}/index").groupBy("session").agg(F.count("*").alias("chunks"), F.sum(F.col("size").cast("long")).alias("bytes"))
 
 

@@ -3,7 +3,7 @@
     root/config, root/key        one-row JSON files
     root/backups                 stream_id, path, size, sha256, iterations
     root/instructions            stream_id, session, seq, offset, size, crypto, inline
-    root/index/snapshot=N        session, bundle_id, pos, crypto, size
+    root/index/snapshot=N        session, bundle_id, pos, crypto, size, digest
     root/bundles/snapshot=N      session, bundle_id, method, records, payload
 
 A session appends; a collection writes the next snapshot, then names it in the config, then deletes the old one.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..functions.hashing import parse_size
+from ..functions.hashing import parse_size, rolling_hex, signed
 from ..operators import bundles as packing
 from ..operators import chunking, exchange, gc, index, restore
 
@@ -116,7 +116,7 @@ class Repository:
 
     def table(self, name: str) -> DataFrame:
         at = f"{self.root}/{name}" + (f"/snapshot={self.config.snapshot}" if name in ("index", "bundles") else "")
-        schema = {"index": "session string, bundle_id long, pos int, crypto string, size int", "bundles": "session string, bundle_id long, method string, records array<struct<crypto: string, size: int>>, payload binary", "backups": "stream_id long, path string, size long, sha256 string, iterations int", "instructions": "stream_id long, session string, seq int, offset long, size int, crypto string, inline binary"}[name]
+        schema = {"index": "session string, bundle_id long, pos int, crypto string, size int, digest long", "bundles": "session string, bundle_id long, method string, records array<struct<crypto: string, size: int>>, payload binary", "backups": "stream_id long, path string, size long, sha256 string, iterations int", "instructions": "stream_id long, session string, seq int, offset long, size int, crypto string, inline binary"}[name]
         found = self._fs().exists(self.spark._jvm.org.apache.hadoop.fs.Path(at))
         return self.spark.read.schema(schema).parquet(at) if found else self.spark.createDataFrame([], schema)
 
@@ -134,22 +134,32 @@ class Repository:
             stored = stored.withColumn("payload", codecs.encrypt(F.col("payload"), F.lit(key)))
         # bundles first, then the index that names them
         stored.write.mode("append").parquet(f"{self.root}/bundles/snapshot={snapshot}")
-        packed.select("session", "bundle_id", "pos", "crypto", "size").write.mode("append").parquet(f"{self.root}/index/snapshot={snapshot}")
+        digests = payloads.select("crypto", signed(rolling_hex("bytes")).alias("digest"))
+        packed.join(digests, "crypto").select("session", "bundle_id", "pos", "crypto", "size", "digest").write.mode("append").parquet(f"{self.root}/index/snapshot={snapshot}")
 
     def backup(self, streams: DataFrame, session: str, password: str | None = None) -> None:
-        """Stores streams (stream_id, path, payload) as one session; a path that exists is an error."""
+        """Stores streams (stream_id, path, payload) as one session; a path that exists is an error.
+
+        Streams are cut by sliding against the index as it was before the session and against themselves.
+        """
         c, key = self.config, self._key(password)
         streams = streams.withColumn("session", F.lit(session))
         if not streams.join(self.table("backups"), "path", "left_semi").isEmpty():
             raise FileExistsError("a backup of that path exists")
-        pieces = chunking.fixed_pieces(streams, c.chunk_max_size)
-        made = chunking.instructions(pieces)
-        fresh = index.new_chunks(made.select("crypto", "stream_id", "seq", "session", "size"), self.table("index"))
+        before = self.table("index")
+        # written once: what is appended below must not be cut against
+        at = f"{self.root}/cut-{self.spark._jvm.java.util.UUID.randomUUID()}"
+        full = before.where(F.col("size") == c.chunk_max_size).select("digest", "crypto")
+        chunking.sliding_pieces(streams, full, c.chunk_max_size).write.parquet(at)
+        pieces = self.spark.read.parquet(at)
+        made = chunking.cut_instructions(pieces)
+        fresh = index.new_chunks(made.select("crypto", "stream_id", "seq", "session", "size"), before)
         packed = packing.packed(fresh, ["stream_id", "seq"], c.bundle_max_payload_size)
-        first = pieces.join(fresh.select("stream_id", "seq", "crypto"), ["stream_id", "seq"])
+        first = pieces.drop("crypto").join(fresh.select("stream_id", "seq", "crypto"), ["stream_id", "seq"])
         self._append(packed, first.select("crypto", "bytes"), key, c.snapshot)
         made.write.mode("append").parquet(f"{self.root}/instructions")
         restore.inspect_fast(streams).join(streams.select("stream_id", "path"), "stream_id").select("stream_id", "path", "size", "sha256", "iterations").write.mode("append").parquet(f"{self.root}/backups")
+        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(at), True)
 
     def restore(self, password: str | None = None) -> DataFrame:
         """Every stream, checked against its manifest."""

@@ -166,3 +166,21 @@ def test_missing_chunk_is_an_error(spark):
     nothing = spark.createDataFrame([], "crypto string, session string, bundle_id long, pos int")
     with pytest.raises(Exception, match="no such chunk"):
         index.located(refs, nothing).collect()
+
+
+def test_backup_slides_over_inserted_bytes(spark, tmp_path):
+    data = random.Random(6).randbytes(2560)
+    moved = data[:300] + b"!" + data[300:]
+    repo = Repository.init(spark, str(tmp_path / "r"), Config(256, 1024, "zlib"))
+    schema = "stream_id long, path string, payload binary"
+    repo.backup(spark.createDataFrame([(1, "a", data)], schema), "s1")
+    n = repo.table("index").count()
+    repo.backup(spark.createDataFrame([(2, "b", moved)], schema), "s2")
+    assert repo.table("index").count() - n <= 2
+    assert {r.stream_id: bytes(r.payload) for r in repo.restore().collect()} == {1: data, 2: moved}
+    # and after a collection
+    repo.collect_garbage(repack=True)
+    n = repo.table("index").count()
+    repo.backup(spark.createDataFrame([(3, "c", b"??" + data)], schema), "s3")
+    assert repo.table("index").count() == n
+    assert {r.stream_id: bytes(r.payload) for r in repo.restore().collect()} == {1: data, 2: moved, 3: b"??" + data}

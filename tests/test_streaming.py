@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from chunkmill.streaming import run_sessions, session_writer
 
@@ -23,3 +24,11 @@ def test_sessions_add_only_new_chunks(spark, tmp_path):
     # a batch that is repeated replaces its own part
     session_writer(spark, root, 256, 1024)(second, 1)
     assert sorted(r.crypto for r in spark.read.parquet(f"{root}/index").collect()) == sorted(ids)
+
+
+def test_sessions_slide_over_inserted_bytes(spark, tmp_path):
+    data = random.Random(7).randbytes(2560)
+    write = session_writer(spark, str(tmp_path), 256, 1024)
+    write(spark.createDataFrame([(1, "s", data)], STREAMS), 0)
+    write(spark.createDataFrame([(2, "t", data[:300] + b"!" + data[300:])], STREAMS), 1)
+    assert spark.read.parquet(f"{tmp_path}/index").where("batch = 1").count() <= 2
