@@ -3,10 +3,12 @@
 A document is the set of its distinct 5-word shingles. Every register holds the truncated, exponentially spaced
 minimum over the set, so registers of parts merge by their maximum. Bands of registers give candidates, the
 joint likelihood of two documents' registers discards those far below the threshold, and full sets confirm the rest.
-Equal sets are joined before, by a hash of the whole set, and count as one member.
+Equal sets are joined before, by a hash of the whole set, and count as one member: links are those of sets, whatever
+the doc_ids of their rows, and each row has those of its own text.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a row without doc_id is
-kept and its component_id is null; rows that repeat a doc_id share its links; extra columns are passed over.
+kept and its component_id is null; rows that repeat a doc_id are each linked by their own text; extra columns are
+passed over. keep_one() goes by rows: of a component one stays, doc_ids null or repeated or not.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def _floor(per_cent: int) -> float:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """(id, n_shingles, lo, hi, regs): set size, 128-bit hash of the set and registers of each row."""
+    """(id, th, n_shingles, lo, hi, regs): text hash, set size, 128-bit hash of the set and registers of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -113,17 +115,23 @@ def signatures(documents: DataFrame) -> DataFrame:
             regs = registers(np.stack([minima(s) for s in sets])) if sets else []
             hashes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n_shingles", "lo", "hi", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "th", "n_shingles", "lo", "hi", "regs"])
 
-    return map_text(documents.select(F.col("doc_id").alias("id"), "text"), rows, "id long, n_shingles long, lo long, hi long, regs binary")
+    return map_text(documents.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text"), rows, "id long, th long, n_shingles long, lo long, hi long, regs binary")
 
 
-def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links lead to) and kept, for each row of documents."""
+def _components(documents: DataFrame, per_cent: int) -> DataFrame:
+    """(id, th, n_shingles, component) of each row; component: the member that its links lead to, null without shingles.
+
+    A member is a distinct set, named by the first half of its hash.
+    """
     floor = _floor(per_cent)
     signed = scratch(signatures(documents), "signed")
-    classes = signed.where("n_shingles > 0 and id is not null").groupBy("lo", "hi").agg(F.min("id").alias("class"))
-    one_each = signed.join(classes.select("lo", "hi", F.col("class").alias("id")), ["lo", "hi", "id"]).select("id", "n_shingles", "regs").distinct()
+    # a row of each set that has its text and registers: one with a doc_id if there is any
+    row = F.struct(F.col("id").isNull(), "id", "th")
+    classes = signed.where("n_shingles > 0").groupBy("lo", "hi").agg(F.min(row).alias("row")).select("lo", "hi", "row.id", "row.th")
+    one_each = signed.alias("s").join(classes.alias("c"), F.expr("s.lo = c.lo and s.hi = c.hi and s.id <=> c.id and s.th = c.th"))
+    one_each = one_each.selectExpr("s.lo as id", "s.id as doc_id", "s.th", "s.n_shingles", "s.regs").dropDuplicates(["id"])
     parts = linkage.parts_for(signed.count() * layout(per_cent)[0])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -155,21 +163,40 @@ def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
     comparison = linkage.Comparison(lambda batch: unpacked(batch.column("regs")), lambda regs: band_keys(regs, per_cent), floor - COARSE, likely, lambda text: word_shingles(text, WordHashes()), per_cent)
     links = linkage.bucket_links(map_text(one_each.select("id", "regs"), lambda batches: linkage.pack(entries(batches), parts), linkage.PACKED))
     pairs = linkage.shared(links)
-    payload = documents.select(F.col("doc_id").alias("id"), "text").join(linkage.members(pairs).hint("shuffle_hash"), "id").dropDuplicates(["id"])
-    payload = scratch(payload.join(one_each.dropDuplicates(["id"]), "id").withColumnRenamed("n_shingles", "size"), "candidates")
+    chosen = one_each.join(linkage.members(pairs).hint("shuffle_hash"), "id")
+    text_of = documents.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("d")
+    payload = text_of.join(chosen.alias("c").hint("shuffle_hash"), F.expr("d.doc_id <=> c.doc_id and d.th = c.th")).dropDuplicates(["id"])
+    payload = scratch(payload.selectExpr("c.id", "d.text", "c.regs", "c.n_shingles as size"), "candidates")
     hubs = scratch(linkage.hub_pairs(pairs), "hubs")
     edges = scratch(linkage.verified(hubs, payload, same, ["text", "regs", "size"]), "linked")
     joined = scratch(linkage.forest(edges), "joined")
     more = scratch(linkage.leftover_links(links, pairs, hubs, joined, payload, comparison), "linked")
     if not more.isEmpty():
         joined = linkage.merged(joined, more)
-    found = signed.select("id", "n_shingles", "lo", "hi").join(classes, ["lo", "hi"], "left").withColumn("class", F.expr("if(n_shingles > 0 and id is not null, class, id)"))
-    found = found.join(joined.select(F.col("id").alias("class"), "component"), "class", "left")
-    component = F.coalesce("component", "class")
+    found = signed.select("id", "th", "n_shingles", F.expr("if(n_shingles > 0, lo, null)").alias("lo"))
+    found = found.join(joined.select(F.col("id").alias("lo"), "component"), "lo", "left")
+    return found.select("id", "th", "n_shingles", F.coalesce("component", "lo").alias("component"))
+
+
+def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links lead to) and kept, for each row of documents."""
+    found = scratch(_components(documents, per_cent), "components")
+    least = found.where("component is not null and id is not null").groupBy("component").agg(F.min("id").alias("least"))
+    found = found.join(least, "component", "left")
+    component = F.expr("if(id is null, null, coalesce(least, id))")
     return found.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(documents: DataFrame, per_cent: int = 80) -> DataFrame:
-    """The documents without those that a smaller doc_id of their component stands for. Of rows that repeat a doc_id all stay or go."""
-    dropped = near_duplicates(documents, per_cent).where("not kept").select("doc_id").distinct()
-    return documents.join(dropped, "doc_id", "left_anti").select(documents.columns)
+    """The documents without those that another row of their component stands for: the one of smallest doc_id (none comes last), then text hash."""
+    found = scratch(_components(documents, per_cent).where("component is not null"), "components")
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    each = found.groupBy("component", "id", "th").agg(F.count("*").alias("rows"))
+    first = each.groupBy("component").agg(F.min(row).alias("first"))
+    # few rows: what goes, and what stays once
+    judged = scratch(each.join(first, "component").withColumn("goes", ~(row == F.col("first"))).where("goes or rows > 1").select(F.col("id").alias("id_"), F.col("th").alias("th_"), "goes"), "judged")
+    marked = documents.withColumn("hash_", F.xxhash64("text"))
+    same = F.expr("doc_id <=> id_ and hash_ = th_")
+    stay = marked.join(judged, same, "left_anti").select(documents.columns)
+    once = marked.join(judged.where("not goes"), same, "left_semi").dropDuplicates(["doc_id", "hash_"]).select(documents.columns)
+    return stay.unionByName(once)

@@ -94,6 +94,16 @@ def test_near_duplicates_odd(odd, empty):
     assert near_dedup.keep_one(odd).columns == odd.columns
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, c), (4, c), (None, c), (None, "d " * 9), (None, "d " * 9), (5, ""), (5, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, 85).where("doc_id is not null").collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True), (5, 5, True)]
+    kept = sorted(map(tuple, near_dedup.keep_one(docs, 85).collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (4, c), (None, "d " * 9), (5, ""), (5, ""), (None, None)], key=repr)
+
+
 def test_estimate():
     draw = np.random.default_rng(1)
     for shared in (100, 500, 900):
