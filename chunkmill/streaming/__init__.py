@@ -34,8 +34,12 @@ def session_writer(spark: SparkSession, root: str, chunk: int, cap: int, slide:
             made = chunking.instructions(cut)
         fresh = index.new_chunks(made.select("crypto", "stream_id", "seq", "session", "size"), before)
         packed = bundles.packed(fresh, ["stream_id", "seq"], cap)
-        digests = cut.select("stream_id", "seq", signed(rolling_hex("bytes")).alias("digest")).dropDuplicates(["stream_id", "seq"])
-        packed.join(digests, ["stream_id", "seq"]).select("session", "bundle_id", "pos", "crypto", "size", "digest").write.mode("overwrite").parquet(f"{root}/index/batch={batch}")
+        if slide:
+            digests = cut.select("stream_id", "seq", signed(rolling_hex("bytes")).alias("digest")).dropDuplicates(["stream_id", "seq"])
+            packed = packed.join(digests, ["stream_id", "seq"])
+        else:  # nothing is looked up by digest
+            packed = packed.withColumn("digest", F.lit(None).cast("long"))
+        packed.select("session", "bundle_id", "pos", "crypto", "size", "digest").write.mode("overwrite").parquet(f"{root}/index/batch={batch}")
 
     return write
 
