@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,9 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of text that cross to Python at a time; the default of 10,000 is a lot for long texts.
+#: Rows of text that a function sees at a time; a whole Arrow batch is a lot for long texts.
 TEXT_BATCH_ROWS = 1000
 
 
@@ -23,28 +25,51 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one where it is unset, which only a local master may use."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='chunkmill-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        root = spark.conf.get("chunkmill.local.dir", None)
+        if not root:
+            root = f"file://{tempfile.mkdtemp(prefix='chunkmill-')}"
+            spark.conf.set("chunkmill.local.dir", root)
+            for_exit(spark, root)
     return root
 
 
+def for_exit(spark: SparkSession, path: str) -> None:
+    """Has the folder deleted when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, lost executors cost nothing."""
+    """Writes df as a table in the shared folder and reads it back: lineage ends there, lost executors cost nothing. It is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_text(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of bounded size."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
-    return df.mapInArrow(rows, schema)
+def spare(columns: Iterable[str], name: str) -> str:
+    """The name, longer by as many marks as keep it from clashing with columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_text(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow over parts of batches: what is made of one part is in memory at a time."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXT_BATCH_ROWS):
+                yield batch.slice(at, TEXT_BATCH_ROWS)
+
+    return df.mapInArrow(lambda batches: rows(parts(batches)), schema)
 
 
 def ship(spark: SparkSession, value: object) -> Callable[[], object]:
@@ -53,6 +78,35 @@ def ship(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(held.value)
 
 
+#: A filter's bits for each value, and the logarithm of the most bits that it may have (16 MB); fixed odd multipliers.
+PER_VALUE, MOST_BITS = 16, 27
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+def filter_of(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A Bloom filter of a column of longs, set in tasks, joined by OR and broadcast: from longs to which of them may be there."""
+    bits = int(np.clip((ids.count() * PER_VALUE).bit_length(), 12, MOST_BITS))
+
+    def places(x: np.ndarray) -> np.ndarray:
+        return np.stack([x.view(np.uint64) * m >> np.uint64(64 - bits) for m in _MULTIPLIERS])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = places(batch.column(0).to_numpy(zero_copy_only=False)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    found = ids.mapInArrow(rows, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2 ** (MOST_BITS - 6) rows
+    words = np.zeros(1 << bits - 6, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    held = ids.sparkSession.sparkContext.broadcast(words)
+
+    def passes(x: np.ndarray) -> np.ndarray:
+        at = places(x)
+        return (held.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(0)
+
+    return passes
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A column of strings, null as the empty one."""
     return [x or "" for x in batch.column(name).to_pylist()]
@@ -105,7 +159,7 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if not len(small) or 100 * len(small) < per_cent * len(large):
         return False
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum())
+    every = np.concatenate((a, b))
+    every.sort()
+    both = int(np.count_nonzero(every[1:] == every[:-1]))
     return 100 * both >= per_cent * (len(a) + len(b) - both)

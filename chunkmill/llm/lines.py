@@ -3,10 +3,13 @@
 Lines are stripped of white space at their ends; blank ones stay where they are. Equal lines are one member. Members
 whose band keys meet are verified by the exact Jaccard similarity of their shingle sets (8 code points; a shorter line
 is one shingle) and joined by a distributed union-find. Of each component the first line stays: that of the smallest
-(doc_id, text hash, line number); all others go from their documents.
+(doc_id, text hash, line number); all others go from their documents. One changed character inside a line changes 8
+shingles, so lines of under 79 code points are only alike if they are equal or differ near their ends.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows without doc_id come last; rows that
-repeat both doc_id and text are one document, and keep the same lines; extra columns are carried through unchanged.
+repeat both doc_id and text are one document, and keep the same lines; ties cannot be, as a place is a line's own;
+texts and lines of any length are looked at whole; an empty table gives none; extra columns are carried through
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,22 +17,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import linkage
-from .common import jaccard_at_least, map_text, mix, scratch, texts
+from .common import filter_of, jaccard_at_least, map_text, mix, scratch, texts
 
 #: Code points to a shingle, similarity in hundredths, bands and rows: a pair at 0.8 is missed with probability 0.0006.
 WIDTH, PER_CENT, BANDS, ROWS = 8, 80, 14, 4
-#: Registers that estimate a candidate's similarity before it is verified (the first ones are the bands'), and the
-#: least share of equal ones: four standard errors below the threshold.
-REGISTERS, LEAST = 128, 0.66
+#: Registers that lines which meet many others are first compared by (the first ones are the bands'), and the least
+#: share of equal ones: six standard errors below the threshold.
+REGISTERS, LEAST = 256, 0.65
 #: Code points that are hashed at a time (they stay in the processor's cache), lines that a task remembers.
 CHUNK, REMEMBERED = 1 << 16, 1_000_000
+#: What stands between lines: no code point.
+GAP = 0x110000
 _DRAWN = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 TIMES, SALT = _DRAWN[:REGISTERS] | np.uint32(1), _DRAWN[REGISTERS:]
 
@@ -73,23 +78,40 @@ def signatures(lines: list[str], registers: int = BANDS * ROWS) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    x = regs[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(np.uint64)
+    x = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(48), x.shape[:2])
     for i in range(ROWS):
         keys = mix(keys + x[:, :, i] + np.uint64(1))
     return keys
 
 
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each line's shingles, of many lines at once."""
+    out, at = [], 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (size < CHUNK or end == at):
+            size += len(lines[end]) + WIDTH - 1
+            end += 1
+        lengths = np.array([len(x) for x in lines[at:end]])
+        starts = np.concatenate(([0], np.cumsum(lengths + WIDTH - 1)[:-1]))
+        codes = np.full(size, GAP, np.uint64)  # between lines, and after the last
+        codes[np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)] = np.frombuffer("".join(lines[at:end]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = size - WIDTH + 1
+        h = np.zeros(n, np.uint64)
+        for i in range(WIDTH):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += codes[i : i + n]
+        h = mix(h)
+        for a, k in zip(starts.tolist(), np.maximum(lengths - WIDTH + 1, 1).tolist(), strict=True):
+            own = np.sort(h[a : a + k])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        at = end
+    return out
+
+
 def shingles(line: str) -> np.ndarray:
-    """Sorted distinct hashes of a line's shingles."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(len(codes) - WIDTH + 1, 1)
-    h = np.full(n, min(len(codes), WIDTH), np.uint64)
-    for i in range(min(WIDTH, len(codes))):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
-    h = mix(h)
-    h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+    return shingle_sets([line])[0]
 
 
 def split(text: str) -> list[str]:
@@ -102,14 +124,16 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries sorted by hash, then place, and which of them are the first of their hash."""
+    """Different entries sorted by hash, then place, and which of them are the first of their hash."""
     x = x[np.argsort(x[:, 0])]
     first = np.concatenate(([True], x[1:, 0] != x[:-1, 0]))[: len(x)]
     several = ~first
     several[:-1] |= ~first[1:]  # most lines stand in one place only
     own = x[several]
     x[several] = own[np.lexsort((own[:, 4], own[:, 3], own[:, 2], own[:, 1], own[:, 0]))]
-    return x, first
+    # rows that are repeated whole have the same places
+    again = np.concatenate(([False], (x[1:] == x[:-1]).all(1)))[: len(x)]
+    return x[~again], first[~again]
 
 
 def placed(documents: DataFrame, parts: int) -> DataFrame:
@@ -151,28 +175,32 @@ def placed(documents: DataFrame, parts: int) -> DataFrame:
     return map_text(_keyed(documents), rows, "part int, firsts binary, laters binary")
 
 
-PLACES = "hash long, no boolean, doc long, h long, line int, kind int"
-
-
-def open_places(places: DataFrame, named: DataFrame, parts: int) -> DataFrame:
-    """Places of lines that stand in several tasks or are named (id), and the places that are dropped anyway.
+def gone_and_open(places: DataFrame, named: DataFrame, parts: int) -> DataFrame:
+    """(hash, no, doc, h, line, first): places of lines after the line's first, and the first places of lines that are named (id); written.
 
-    kind: 0 the first place of a named line, 1 of another, 2 a later one, 3 dropped.
+    A line's later places go whatever other lines it is like; its first one stays or goes by its component.
     """
 
-    def reduce(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, later = (np.frombuffer(b"".join(left[c]), np.int64).reshape(-1, 5) for c in ("firsts", "laters"))
-        x, first = in_order(x)
-        last = np.concatenate((first[1:], [True]))[: len(x)]
-        is_named = np.isin(x[:, 0], right["id"].to_numpy())
-        kept = ~(first & last) | is_named
-        kind = np.where(first, np.where(is_named, 0, 1), 2)[kept]
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            part = (ids.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            ids, cuts = ids[np.argsort(part, kind="stable")], np.searchsorted(np.sort(part), np.arange(parts + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([ids[cuts[p] : cuts[p + 1]].tobytes() for p in range(parts)], pa.binary())], ["part", "named"])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("firsts", "laters", "named")]]))
+        x, later, ids = (np.frombuffer(b"".join(v for v in rows.column(c).to_pylist() if v), np.int64) for c in ("firsts", "laters", "named"))
+        x, first = in_order(x.reshape(-1, 5))
+        later = later.reshape(-1, 5)
+        kept = ~first | np.isin(x[:, 0], ids)
         out = np.concatenate([x[kept], later])
-        return pd.DataFrame({"hash": out[:, 0], "no": out[:, 1] > 0, "doc": out[:, 2], "h": out[:, 3], "line": out[:, 4].astype(np.int32), "kind": np.append(kind, np.full(len(later), 3)).astype(np.int32)})
+        first = np.concatenate([first[kept], np.zeros(len(later), bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1] > 0), pa.array(out[:, 2]), pa.array(out[:, 3]), pa.array(out[:, 4].astype(np.int32)), pa.array(first)], ["hash", "no", "doc", "h", "line", "first"])
 
-    # ids are signed: their part is that of the same 64 bits taken as unsigned
-    part = F.expr(f"cast((cast(id as decimal(20,0)) + if(id < 0, 18446744073709551616BD, 0BD)) % {parts} as int)")
-    return scratch(places.groupBy("part").cogroup(named.select("id", part.alias("part")).groupBy("part")).applyInPandas(reduce, PLACES), "places")
+    ids = named.select("id").mapInArrow(pack, "part int, named binary")
+    both = places.withColumn("named", F.lit(None).cast("binary")).union(ids.select("part", F.lit(None).cast("binary"), F.lit(None).cast("binary"), "named"))
+    return scratch(both.repartitionById(parts, F.col("part")).mapInArrow(reduce, "hash long, no boolean, doc long, h long, line int, first boolean"), "places")
 
 
 def banded(documents: DataFrame, parts: int) -> DataFrame:
@@ -194,79 +222,86 @@ def banded(documents: DataFrame, parts: int) -> DataFrame:
 
 
 def line_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of wanted lines; wanted: doc, h, line and id of one occurrence each."""
-    lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("line", "id")).alias("wanted")).select(F.col("doc").alias("d"), F.col("h").alias("k"), "wanted")
+    """(id, text) of the lines wanted (id); written.
+
+    A filter of them goes to every task and keeps most other lines where they are. It has no false misses and is of
+    bounded size: where it gets full, more lines travel, and the join decides.
+    """
+    passes = filter_of(wanted)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            ids, found = [], []
-            for text, own in zip(texts(batch), batch.column("wanted").to_pylist(), strict=True):
-                lines = split(text)
-                for x in own:
-                    ids.append(x["id"])
-                    found.append(lines[x["line"]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "text"])
+            new = {h: x for text in texts(batch) for x in split(text) if x and (h := line_hash(x)) not in seen}
+            hashes = np.fromiter(new, np.int64, len(new))
+            ids = hashes[passes(hashes)].tolist() if len(new) else []
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([new[h] for h in ids], pa.string())], ["id", "text"])
+
+    found = map_text(documents.select("text"), rows, "id long, text string")
+    return scratch(found.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
+
 
-    # hashing the short side leaves the texts unsorted
-    return map_text(_keyed(documents).join(lists.hint("shuffle_hash"), F.expr("doc <=> d and h = k")).select("text", "wanted"), rows, "id long, text string")
+class Lines(linkage.Comparison):
+    """Lines are linked by the exact similarity of their shingle sets."""
 
+    least = LEAST
 
-def _likely(a: np.ndarray, b: np.ndarray, *_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    share = (a == b).mean(1)
-    return share, share >= LEAST
+    def members(self, batch: pa.RecordBatch) -> list[linkage.Member]:
+        lines = batch.column("text").to_pylist()
+        return list(zip(batch.column("id").to_pylist(), lines, shingle_sets(lines), strict=True))
 
+    def registers(self, members: list[linkage.Member]) -> np.ndarray:
+        return signatures([m[1] for m in members], REGISTERS).astype(np.uint8)
 
-def _same(a: list, b: list, left: list, right: list) -> list[bool]:
-    # most pairs that share a hub are alike: an estimate first would cost more than it saves
-    return [jaccard_at_least(shingles(x["text"]), shingles(y["text"]), PER_CENT) for x, y in zip(left, right, strict=True)]
+    def same(self, a: linkage.Member, b: linkage.Member) -> bool:
+        return jaccard_at_least(a[2], b[2], PER_CENT)
 
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """(no, doc, h, drop): the numbers of each document's lines that an earlier line stands for."""
     parts = max(16, 2 * documents.select("text").rdd.getNumPartitions())  # so what a part gets is bounded by a split's size
-    links = linkage.bucket_links(banded(documents, parts))
-    pairs = linkage.shared(links)
-    open_ = open_places(placed(documents, parts), linkage.members(pairs), parts)
-    wanted = open_.where("kind = 0").select(F.expr("if(no, null, doc)").alias("doc"), "h", "line", F.col("hash").alias("id"))
-    payload = scratch(line_texts(documents, wanted).dropDuplicates(["id"]).withColumn("size", F.length("text")), "candidates")
-    hubs = scratch(linkage.hub_pairs(pairs), "hubs")
-    edges = scratch(linkage.verified(hubs, payload, _same, ["text"]), "linked")
-    joined = scratch(linkage.forest(edges), "joined")
-    comparison = linkage.Comparison(lambda batch: signatures(texts(batch), REGISTERS), band_keys, LEAST, _likely, shingles, PER_CENT)
-    more = scratch(linkage.leftover_links(links, pairs, hubs, joined, payload, comparison), "linked")
-    if not more.isEmpty():
-        joined = linkage.merged(joined, more)
-    place = F.struct("no", "doc", "h", "line")
-    undecided = open_.where("kind < 3").join(joined.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
-    firsts = undecided.where("kind < 2").groupBy("component").agg(F.min(place).alias("keep"))
-    gone = ["no", "doc", "h", "line"]
-    drop = undecided.join(firsts, "component").where(place != F.col("keep")).select(gone).union(open_.where("kind = 3").select(gone))
-    return drop.groupBy("no", "doc", "h").agg(F.collect_set("line").alias("drop"))
-
-
-def deduplicated(documents: DataFrame) -> DataFrame:
-    """The rows of documents with text rewritten, and n_lines_ (not blank) and n_kept_ of them."""
-    dropped = dropped_lines(documents).select(F.expr("if(no, null, doc)").alias("d_"), F.col("h").alias("h_"), F.col("drop").alias("drop_"))
-    rows_in = documents.join(dropped.hint("shuffle_hash"), F.expr("cast(doc_id as bigint) <=> d_ and xxhash64(text) = h_"), "left").drop("d_", "h_")
-    names = documents.columns
+    sets, links = linkage.grouped(banded(documents, parts), parts)
+    payload = line_texts(documents, scratch(linkage.members(sets, links), "members"))
+    joined = linkage.connected(sets, links, payload, Lines())
+    found = gone_and_open(placed(documents, parts), joined, parts)
+    place = ["no", "doc", "h", "line"]
+    named = found.where("first").join(joined.withColumnRenamed("id", "hash"), "hash")
+    stays = named.groupBy("component").agg(F.min(F.struct(*place)).alias("stays")).select("stays.*")
+    # by place, which is a line's own: no component meets in a task
+    gone = found.where("first").select(place).join(stays, place, "left_anti").union(found.where("not first").select(place))
+    return gone.groupBy("no", "doc", "h").agg(F.collect_set("line").alias("drop"))
+
+
+def deduplicated(documents: DataFrame, counts: tuple[str, str] = ("n_lines_", "n_kept_")) -> DataFrame:
+    """The rows of documents with text rewritten, and how many lines that are not blank they have and keep."""
+    names, dropped = documents.columns, dropped_lines(documents)
+    # the row is one column, so no name of its columns can clash
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc"), F.xxhash64("row.text").alias("h"))
+    dropped = dropped.select(F.expr("if(no, null, doc)").alias("d"), F.col("h").alias("k"), "drop")
+    rows_in = keyed.join(dropped.hint("shuffle_hash"), F.expr("doc <=> d and h = k"), "left").select("row", "drop")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, lines, kept = [], [], []
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("drop_").to_pylist(), strict=True):
+            columns = dict(zip(names, batch.column("row").flatten(), strict=True))
+            for text, drop in zip(columns["text"].to_pylist(), batch.column("drop").to_pylist(), strict=True):
                 gone = set(drop or ())
                 own = (text or "").split("\n")
                 full = sum(1 for x in own if x.strip())
                 out.append("\n".join([x for k, x in enumerate(own) if k not in gone]) if gone else text)
                 lines.append(full)
                 kept.append(full - len(gone))
-            yield pa.RecordBatch.from_arrays([*[pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], pa.array(lines, pa.int64()), pa.array(kept, pa.int64())], [*names, "n_lines_", "n_kept_"])
+            columns["text"] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(columns.values()), names), pa.array(lines, pa.int64()), pa.array(kept, pa.int64())], ["row", "lines", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return map_text(rows_in, rows, f"{schema}, n_lines_ long, n_kept_ long")
+    schema = T.StructType([T.StructField("row", T.StructType([T.StructField(f.name, f.dataType) for f in documents.schema])), T.StructField("lines", T.LongType()), T.StructField("kept", T.LongType())])
+    return map_text(rows_in, rows, schema).select("row.*", F.col("lines").alias(counts[0]), F.col("kept").alias(counts[1]))
 
 
 def digests(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept and the sha256 of the remaining text of every row."""
-    found = deduplicated(documents.select("doc_id", "text"))
-    return found.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_kept_").alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    found = deduplicated(documents.select("doc_id", "text"), ("n_lines", "n_kept"))
+    return found.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

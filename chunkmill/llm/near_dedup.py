@@ -7,8 +7,9 @@ Equal sets are joined before, by a hash of the whole set, and count as one membe
 the doc_ids of their rows, and each row has those of its own text.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a row without doc_id is
-kept and its component_id is null; rows that repeat a doc_id are each linked by their own text; extra columns are
-passed over. keep_one() goes by rows: of a component one stays, doc_ids null or repeated or not.
+kept and its component_id is null; rows that repeat a doc_id are each linked by their own text; texts of any length are
+looked at whole; ties cannot be, as a component's name is its smallest doc_id; an empty table gives none; extra columns
+are passed over, whatever their names. keep_one() goes by rows: of a component one stays, doc_ids null or repeated or not.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ MISS = 1e-5
 MARGIN = 5.0
 #: How far below the least estimate the share of equal registers may lie for an estimate to be made.
 COARSE = 0.15
+#: Shingles that a task remembers.
+HELD = 4_000_000
 
 
 _DRAWN = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -120,18 +123,51 @@ def signatures(documents: DataFrame) -> DataFrame:
     return map_text(documents.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text"), rows, "id long, th long, n_shingles long, lo long, hi long, regs binary")
 
 
+class Documents(linkage.Comparison):
+    """Documents are linked by the exact similarity of their shingle sets, if the joint estimate does not speak against it."""
+
+    columns = ("text", "regs", "size")
+
+    def __init__(self, per_cent: int):
+        self.per_cent, self.floor, self.known = per_cent, _floor(per_cent), WordHashes()
+        self.least = self.floor - COARSE
+        self.sets: dict[int, np.ndarray] = {}
+        self.held = 0
+
+    def registers(self, members: list[linkage.Member]) -> np.ndarray:
+        return np.frombuffer(b"".join(m[2] for m in members), np.uint16).reshape(-1, REGISTERS)
+
+    def likely(self, a: list[linkage.Member], b: list[linkage.Member]) -> list[float | None]:
+        x, y = self.registers(a), self.registers(b)
+        n, m = (np.array([r[3] for r in side], float) for side in (a, b))
+        at = np.flatnonzero(((x == y).sum(1) >= self.least * REGISTERS) & (100 * np.minimum(n, m) >= self.per_cent * np.maximum(n, m)))
+        found = np.full(len(a), np.nan)
+        found[at] = estimate((x[at] > y[at]).sum(1), (x[at] < y[at]).sum(1), n[at], m[at])
+        return [float(f) if f >= self.floor else None for f in found]
+
+    def _set(self, member: linkage.Member) -> np.ndarray:
+        found = self.sets.get(member[0])
+        if found is None:
+            if self.held > HELD:
+                self.sets, self.held = {}, 0
+            found = self.sets[member[0]] = word_shingles(member[1] or "", self.known)
+            self.held += len(found)
+        return found
+
+    def same(self, a: linkage.Member, b: linkage.Member) -> bool:
+        return jaccard_at_least(self._set(a), self._set(b), self.per_cent)
+
+
 def _components(documents: DataFrame, per_cent: int) -> DataFrame:
     """(id, th, n_shingles, component) of each row; component: the member that its links lead to, null without shingles.
 
     A member is a distinct set, named by the first half of its hash.
     """
-    floor = _floor(per_cent)
     signed = scratch(signatures(documents), "signed")
-    # a row of each set that has its text and registers: one with a doc_id if there is any
-    row = F.struct(F.col("id").isNull(), "id", "th")
-    classes = signed.where("n_shingles > 0").groupBy("lo", "hi").agg(F.min(row).alias("row")).select("lo", "hi", "row.id", "row.th")
-    one_each = signed.alias("s").join(classes.alias("c"), F.expr("s.lo = c.lo and s.hi = c.hi and s.id <=> c.id and s.th = c.th"))
-    one_each = one_each.selectExpr("s.lo as id", "s.id as doc_id", "s.th", "s.n_shingles", "s.regs").dropDuplicates(["id"])
+    # a row of each set has its text and registers, one with a doc_id if there is any: equal sets meet before they travel
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "th", "n_shingles", "regs")
+    one_each = signed.where("n_shingles > 0").groupBy("lo", "hi").agg(F.min(row).alias("row"))
+    one_each = scratch(one_each.select(F.col("lo").alias("id"), F.col("row.id").alias("doc_id"), "row.th", F.col("row.n_shingles").alias("size"), "row.regs").dropDuplicates(["id"]), "classes")
     parts = linkage.parts_for(signed.count() * layout(per_cent)[0])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -140,49 +176,24 @@ def _components(documents: DataFrame, per_cent: int) -> DataFrame:
                 keys = band_keys(unpacked(batch.column("regs")), per_cent)
                 yield keys.ravel(), np.repeat(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64), keys.shape[1])
 
-    def same(a: list, b: list, left: list, right: list) -> list[bool]:
-        known, kept = WordHashes(), {}
-
-        def shingles(text: str) -> np.ndarray:
-            if text not in kept:
-                if len(kept) > 200:
-                    kept.clear()
-                kept[text] = word_shingles(text, known)
-            return kept[text]
-
-        if not a:
-            return []
-        ra, rb = (np.frombuffer(b"".join(x["regs"] for x in side), np.uint16).reshape(-1, REGISTERS) for side in (left, right))
-        _, good = likely(ra, rb, *(np.array([x["size"] for x in side]) for side in (left, right)))
-        return [bool(ok) and jaccard_at_least(shingles(x["text"] or ""), shingles(y["text"] or ""), per_cent) for ok, x, y in zip(good, left, right, strict=True)]
-
-    def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = estimate((a > b).sum(1), (a < b).sum(1), n_a, n_b)
-        return found, (found >= floor) & (100 * np.minimum(n_a, n_b) >= per_cent * np.maximum(n_a, n_b))
-
-    comparison = linkage.Comparison(lambda batch: unpacked(batch.column("regs")), lambda regs: band_keys(regs, per_cent), floor - COARSE, likely, lambda text: word_shingles(text, WordHashes()), per_cent)
-    links = linkage.bucket_links(map_text(one_each.select("id", "regs"), lambda batches: linkage.pack(entries(batches), parts), linkage.PACKED))
-    pairs = linkage.shared(links)
-    chosen = one_each.join(linkage.members(pairs).hint("shuffle_hash"), "id")
+    sets, links = linkage.grouped(map_text(one_each.select("id", "regs"), lambda batches: linkage.pack(entries(batches), parts), linkage.PACKED), parts)
+    chosen = scratch(one_each.join(linkage.members(sets, links), "id", "left_semi"), "chosen")
     text_of = documents.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("d")
-    payload = text_of.join(chosen.alias("c").hint("shuffle_hash"), F.expr("d.doc_id <=> c.doc_id and d.th = c.th")).dropDuplicates(["id"])
-    payload = scratch(payload.selectExpr("c.id", "d.text", "c.regs", "c.n_shingles as size"), "candidates")
-    hubs = scratch(linkage.hub_pairs(pairs), "hubs")
-    edges = scratch(linkage.verified(hubs, payload, same, ["text", "regs", "size"]), "linked")
-    joined = scratch(linkage.forest(edges), "joined")
-    more = scratch(linkage.leftover_links(links, pairs, hubs, joined, payload, comparison), "linked")
-    if not more.isEmpty():
-        joined = linkage.merged(joined, more)
-    found = signed.select("id", "th", "n_shingles", F.expr("if(n_shingles > 0, lo, null)").alias("lo"))
-    found = found.join(joined.select(F.col("id").alias("lo"), "component"), "lo", "left")
-    return found.select("id", "th", "n_shingles", F.coalesce("component", "lo").alias("component"))
+    # hashing the short side leaves the texts unsorted
+    payload = text_of.join(chosen.alias("c").hint("shuffle_hash"), F.expr("d.doc_id <=> c.doc_id and d.th = c.th"))
+    payload = scratch(payload.selectExpr("c.id", "d.text", "c.regs", "c.size").dropDuplicates(["id"]), "candidates")
+    joined = linkage.connected(sets, links, payload, Documents(per_cent))
+    found = signed.where("n_shingles > 0").select("id", "th", "n_shingles", "lo").join(joined.select(F.col("id").alias("lo"), "component"), "lo", "left")
+    # rows without shingles, however many, take no part in a join
+    return found.select("id", "th", "n_shingles", F.coalesce("component", "lo").alias("component")).union(signed.where("n_shingles = 0").select("id", "th", "n_shingles", F.lit(None).cast("long")))
 
 
 def near_duplicates(documents: DataFrame, per_cent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) and kept, for each row of documents."""
     found = scratch(_components(documents, per_cent), "components")
-    least = found.where("component is not null and id is not null").groupBy("component").agg(F.min("id").alias("least"))
-    found = found.join(least, "component", "left")
+    least = scratch(found.where("component is not null and id is not null").groupBy("component").agg(F.min("id").alias("least")), "least")
+    linked = found.where("component is not null").join(least, "component", "left").select("id", "n_shingles", "least")
+    found = linked.union(found.where("component is null").select("id", "n_shingles", F.lit(None).cast("long")))
     component = F.expr("if(id is null, null, coalesce(least, id))")
     return found.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
@@ -191,12 +202,15 @@ def keep_one(documents: DataFrame, per_cent: int = 80) -> DataFrame:
     """The documents without those that another row of their component stands for: the one of smallest doc_id (none comes last), then text hash."""
     found = scratch(_components(documents, per_cent).where("component is not null"), "components")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    each = found.groupBy("component", "id", "th").agg(F.count("*").alias("rows"))
-    first = each.groupBy("component").agg(F.min(row).alias("first"))
+    each = scratch(found.groupBy("component", "id", "th").agg(F.count("*").alias("rows")), "rows")
+    first = scratch(each.groupBy("component").agg(F.min(row).alias("first")), "first")
     # few rows: what goes, and what stays once
-    judged = scratch(each.join(first, "component").withColumn("goes", ~(row == F.col("first"))).where("goes or rows > 1").select(F.col("id").alias("id_"), F.col("th").alias("th_"), "goes"), "judged")
-    marked = documents.withColumn("hash_", F.xxhash64("text"))
-    same = F.expr("doc_id <=> id_ and hash_ = th_")
-    stay = marked.join(judged, same, "left_anti").select(documents.columns)
-    once = marked.join(judged.where("not goes"), same, "left_semi").dropDuplicates(["doc_id", "hash_"]).select(documents.columns)
+    judged = each.join(first, "component").withColumn("goes", ~(row == F.col("first"))).where("goes or rows > 1")
+    judged = scratch(judged.select(F.col("id").alias("i"), F.col("th").alias("h"), "goes"), "judged")
+    # the row is one column, so no name of its columns can clash
+    names = documents.columns
+    marked = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).select("row", F.col("row.doc_id").alias("doc"), F.xxhash64("row.text").alias("th"))
+    same = F.expr("doc <=> i and th = h")
+    stay = marked.join(judged, same, "left_anti").select("row.*")
+    once = marked.join(judged.where("not goes"), same, "left_semi").dropDuplicates(["doc", "th"]).select("row.*")
     return stay.unionByName(once)
