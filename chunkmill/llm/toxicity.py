@@ -1,16 +1,23 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with block-max inverted indexes.
 
-Terms are the words whose presence tells the classes apart in the labelled sample; their document frequencies are
-counted over all documents. The examples' weights lie in blocks that know each term's greatest weight, so a search
-skips every block whose bound cannot reach the k best: the k nearest are exact. Votes weighted by nearness are made
-probabilities by isotonic regression on the examples, each judged by the others; the neighbours are the evidence.
+Terms are all words of the labelled examples. A text's weight of a term is (1 + ln count) * idf * chi-square: the
+inverse document frequency over all documents, and how far the term's share of toxic examples is from the sample's (the
+third factor of supervised term weighting, which keeps every word, but lets random rare ones weigh little).
 
-The examples are at most `sample` labelled rows (those of smallest id hash), the terms at most `TERMS`: both bounds
-hold at any size of the input. Counts and scores cover every document.
+The index has postings by term, examples being in blocks of alike ones, and of terms that many examples have the
+greatest weight in each block. A search adds up the postings of its rarer terms, bounds each block by what it has and the
+common terms' greatest weights, and looks into blocks by falling bound until none can reach the k best: the k nearest
+are exact. Votes weighted by nearness are made probabilities by isotonic regression on the examples, each judged by the
+others; the neighbours are the evidence.
+
+The examples are at most `sample` labelled rows (those of smallest id hash) with at most POSTINGS different words, each
+row's own counted; a row that would exceed them is passed over. Counts and scores cover every document.
 
 Defined cases: null and empty texts and those without any term have no neighbours and get the share of toxic
 examples among examples without a term; without labels every score is 0.5; ties between neighbours go to the smaller
-id; rows that repeat a doc_id are scored alike by their own text; extra columns are passed over.
+id; rows that repeat a doc_id are scored by their own text, and as an example the smallest of their texts stands for
+them; of different labels of an id the largest counts; texts of any length are read whole; an empty table gives no
+rows; extra columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import map_text, scratch, ship, texts
 
-#: Bounds of the fit: labelled rows, terms; least standard score of a term; neighbours; examples in a block.
-SAMPLE, TERMS, LEAST_Z, NEIGHBOURS, BLOCK = 20_000, 2048, 6.0, 25, 64
+#: Bounds of the fit: labelled rows, their different words; neighbours; examples in a block; share of examples that makes a term common.
+SAMPLE, POSTINGS, NEIGHBOURS, BLOCK, COMMON = 8192, 4_000_000, 25, 64, 1 / 8
 WORD = re.compile(r"\w+")
 
 
@@ -36,95 +43,79 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def chosen_terms(sample: DataFrame) -> list[str]:
-    """Words whose share of the class differs most from the sample's, by a standard score; sample: label, text."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, toxic = Counter(), Counter()
-        for batch in batches:
-            for text, label in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
-                own = set(words(text)) | {""}
-                n.update(own)
-                if label:
-                    toxic.update(own)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64()), pa.array([toxic[w] for w in n], pa.int64())], ["term", "n", "toxic"])
-
-    counts = map_text(sample.select("label", "text"), rows, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    counts = scratch(counts, "terms")
-    total = counts.where("term = ''").first()
-    if not total or not 0 < total["toxic"] < total["n"]:
-        return []
-    p = total["toxic"] / total["n"]
-    z = (F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-    return [r["term"] for r in counts.where("term <> ''").withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).select("term").collect()]
-
-
-def vectors(documents: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms, counts) of every row: which of the terms a whole text holds, how often."""
-    number = {t: i for i, t in enumerate(terms)}
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sorted(Counter(number[w] for w in words(t) if w in number).items()) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([[i for i, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
-
-    return map_text(documents.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, terms array<int>, counts array<int>")
-
-
 class Examples:
-    """Block-max inverted index of labelled examples, and the calibration of their votes."""
-
-    def __init__(self, idf: np.ndarray, rows: list[tuple[int, list[int], list[int], int]]):
-        self.idf = idf
-        empty = [y for _, t, _, y in rows if not t]
-        labelled = [y for *_, y in rows]
-        prior = (sum(labelled) + 1) / (len(labelled) + 2)
-        self.base = (sum(empty) + 2 * prior) / (len(empty) + 2)
-        rows = [r for r in rows if r[1]]
+    """Block-max inverted index of labelled examples (id, terms, counts, label), and the calibration of their votes."""
+
+    def __init__(self, idf: np.ndarray, rows: list[tuple[int, list[int], list[int], int]], names: list[str] | None = None):
+        self.number = {w: i for i, w in enumerate(names or ())}
+        empty = [y for _, t, _, y in rows if not len(t)]
+        labelled = np.array([y for *_, y in rows], float)
+        prior = float((labelled.sum() + 1) / (len(labelled) + 2))
+        self.base = float((sum(empty) + 2 * prior) / (len(empty) + 2))
+        rows = [r for r in rows if len(r[1])]
+        n, toxic = np.zeros(len(idf)), np.zeros(len(idf))
+        for _, t, _, y in rows:
+            n[t] += 1
+            toxic[t] += y
+        self.weight = idf * (toxic - n * prior) ** 2 / (n * prior * (1 - prior) + 1)
         made = [(doc, y, *self.unit(t, c)) for doc, t, c, y in rows]
         # alike examples next to each other, so that blocks have tight bounds
-        made.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), tuple(r[2]), r[0]))
+        made.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), r[0]) if len(r[2]) else (-1, r[0]))
         self.ids = np.array([r[0] for r in made], np.int64)
         self.labels = np.array([r[1] for r in made], float)
         self.blocks = -(-len(made) // BLOCK)
-        self.bound = np.zeros((len(idf), self.blocks), np.float32)
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, (_, _, t, w) in enumerate(made):
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                lists.setdefault((term, i // BLOCK), []).append((i % BLOCK, weight))
-        for (term, block), own in lists.items():
-            self.postings[term, block] = np.array([x for x, _ in own]), np.array([x for _, x in own])
-            self.bound[term, block] = np.nextafter(np.float32(max(x for _, x in own)), np.float32(2))
+        self._index(made)
         self.knots, self.values = np.array([0.0, 1.0]), np.array([prior, prior])
         if made:
-            votes = np.array([self.vote(t, w, i)[0] for i, (_, _, t, w) in enumerate(made)])
-            self._calibrate(votes, prior)
+            self._calibrate(np.array([self.vote(t, w, i)[0] for i, (_, _, t, w) in enumerate(made)]), prior)
+
+    def _index(self, made: list[tuple]) -> None:
+        term = np.concatenate([np.empty(0, np.int64), *[r[2] for r in made]])
+        example = np.repeat(np.arange(len(made)), [len(r[2]) for r in made])
+        weight = np.concatenate([np.empty(0), *[r[3] for r in made]])
+        common = np.flatnonzero(np.bincount(term, minlength=len(self.weight)) > max(1, COMMON * len(made)))
+        #: A common term's column, -1 for others.
+        self.column = np.full(len(self.weight), -1)
+        self.column[common] = np.arange(len(common))
+        often = self.column[term] >= 0
+        self.dense = np.zeros((self.blocks, BLOCK, len(common)))
+        self.dense.reshape(self.blocks * BLOCK, len(common))[example[often], self.column[term[often]]] = weight[often]
+        self.most = self.dense.max(1) if self.blocks else np.zeros((0, len(common)))
+        term, example, weight = term[~often], example[~often], weight[~often]
+        order = np.argsort(term, kind="stable")
+        self.example, self.posted = example[order].astype(np.int32), weight[order]
+        self.starts = np.searchsorted(term[order], np.arange(len(self.weight) + 1))
 
     def unit(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(terms)
-        w = (1 + np.log(np.array(counts, float))) * self.idf[t]
-        return t, w / np.sqrt((w**2).sum())
+        """Terms that weigh something, and their weights in a vector of length 1."""
+        t = np.array(terms, np.int64)
+        w = (1 + np.log(np.array(counts, float))) * self.weight[t]
+        t, w = t[w > 0], w[w > 0]
+        return t, w / np.sqrt((w**2).sum()) if len(w) else w
 
     def nearest(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest: blocks by falling bound, until no bound reaches the k-th best."""
-        bounds = w @ self.bound[t]
+        column = self.column[t]
+        rare, query = t[column < 0], np.zeros(self.dense.shape[2])
+        query[column[column >= 0]] = w[column >= 0]
+        lengths = self.starts[rare + 1] - self.starts[rare]
+        posts = np.repeat(self.starts[rare] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        partial = np.bincount(self.example[posts], self.posted[posts] * np.repeat(w[column < 0], lengths), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bounds = partial.max(1) + self.most @ query + 1e-9 if self.blocks else np.empty(0)
         order = np.argsort(-bounds, kind="stable")
-        at, near, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in order.tolist():
-            if bounds[block] <= 0 or len(at) >= NEIGHBOURS and bounds[block] < least:
-                break
-            cosine = np.zeros(BLOCK)
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                own = self.postings.get((term, block))
-                if own:
-                    cosine[own[0]] += weight * own[1]
-            here = np.flatnonzero(cosine)
-            here = here[here + block * BLOCK != without]
-            at, near = np.append(at, here + block * BLOCK), np.append(near, cosine[here])
+        at, near, least, done = np.empty(0, np.int64), np.empty(0), 0.0, 0
+        while done < len(order) and (len(at) < NEIGHBOURS or bounds[order[done]] >= least):
+            here = order[done : done + max(2, done)]
+            if len(at) == NEIGHBOURS:
+                here = here[bounds[here] >= least]
+            done += max(2, done)
+            cosine = (partial[here] + self.dense[here] @ query).ravel()
+            found = (here[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            keep = (cosine > 5e-10) & (cosine >= least) & (found != without)
+            at, near = np.append(at, found[keep]), np.append(near, cosine[keep])
             best = np.lexsort((self.ids[at], -np.round(near, 9)))[:NEIGHBOURS]
             at, near = at[best], near[best]
-            least = near[-1] - 1e-9 if len(near) else 0.0
+            least = near[-1] - 1e-9 if len(at) == NEIGHBOURS else 0.0
         return at, near
 
     def vote(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -146,36 +137,69 @@ class Examples:
 
     def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[int, float, int]]]:
         """Probability and evidence: the five nearest examples' ids, cosines and labels."""
-        if not terms or not self.blocks:
-            return float(self.base), []
-        vote, at, near = self.vote(*self.unit(terms, counts))
+        t, w = self.unit(terms, counts)
+        if not len(t) or not self.blocks:
+            return self.base, []
+        vote, at, near = self.vote(t, w)
         return float(np.interp(vote, self.knots, self.values)), [(int(self.ids[i]), round(float(c), 6), int(self.labels[i])) for i, c in zip(at[:5], near[:5], strict=True)]
 
 
+def examples(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, label, words, counts) of the labelled rows in the fit: at most `sample` rows and POSTINGS words in all; written."""
+    chosen = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    chosen = scratch(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "chosen")
+    # a broadcast of at most `sample` rows of two numbers; an id that many rows repeat meets as one row a task
+    own = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(words(t)) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["doc_id", "label", "words", "counts"])
+
+    counted = scratch(map_text(own.select(F.col("doc_id").cast("long"), "label", "text"), rows, "doc_id long, label int, words array<string>, counts array<int>"), "counted")
+    fits, total = [], 0
+    for doc, n in counted.select("doc_id", F.size("words")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + n <= POSTINGS:
+            fits.append(doc)
+            total += n
+    return counted.where(F.col("doc_id").isin(fits)) if len(fits) < counted.count() else counted
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Examples:
+    """The index of labelled rows; labels: doc_id and label."""
+    rows = sorted(examples(documents, labels, sample).collect())
+    names = sorted({w for r in rows for w in r["words"]})
+    number = {w: i for i, w in enumerate(names)}
+    held = ship(documents.sparkSession, number)  # of at most POSTINGS words
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held()
+        n, total = np.zeros(len(known), np.int64), 0
+        for batch in batches:
+            for text in texts(batch):
+                n[[known[w] for w in set(words(text)) if w in known]] += 1
+            total += batch.num_rows
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], ["term", "n"])
+
+    found = map_text(documents.select("text"), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    of = dict(zip(found.column("term").to_pylist(), found.column("n").to_pylist(), strict=True))
+    idf = np.array([math.log((1 + of.get(-1, 0)) / (1 + of.get(i, 0))) for i in range(len(names))])
+    return Examples(idf, [(r["doc_id"], [number[w] for w in r["words"]], r["counts"], r["label"]) for r in rows], names)
+
+
 def scored(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, score and evidence (doc_id, cosine, label of the nearest) of every row; labels: doc_id and label."""
-    chosen = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    chosen = scratch(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "examples")
-    terms = chosen_terms(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most `sample` rows of two numbers
-    found = scratch(vectors(documents, terms), "vectors")
-    total = found.count()
-    df = {r["term"]: r["count"] for r in found.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}  # at most TERMS rows
-    idf = np.array([math.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    own = found.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "terms", "counts", "label").collect()
-    held = ship(documents.sparkSession, Examples(idf, [tuple(r) for r in own]))
+    held = ship(documents.sparkSession, fit(documents, labels, sample))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples, known = held(), {}
+        index = held()
         for batch in batches:
             out = []
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (*t, -1, *c)
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = examples.score(t, c)
-                out.append(known[key])
+            for text in texts(batch):
+                found = Counter(w for w in words(text) if w in index.number)
+                out.append(index.score([index.number[w] for w in found], list(found.values())))
             evidence = [[{"doc_id": a, "cosine": b, "label": c} for a, b, c in e] for _, e in out]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))], ["doc_id", "score", "evidence"])
 
-    return found.mapInArrow(rows, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
+    return map_text(documents.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
