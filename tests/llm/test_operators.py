@@ -224,6 +224,30 @@ def test_secrets(spark, small, odd, empty):
         assert secrets.base_spans(x) == sorted(want)
 
 
+def test_secrets_tell_random_strings_from_identifiers(small):
+    docs = small.limit(50)
+    models = secrets.train(docs)
+    judged = lambda tokens: [r >= secrets.LEAST and r >= secrets.LEAST_EACH * len(t) for t, r in zip(tokens, models.ratios(tokens).tolist(), strict=True)]
+    ordinary = ["getUserAccountById2Handler_v3", "MAX_CONNECTION_POOL_SIZE_2048", "user_profile_image_url_2x", "internationalization", "XMLHttpRequestEventTarget", "kubernetesClusterAutoscaler", "20261126143059", "9eba40f11a21"]
+    assert not any(judged(ordinary))
+    held: dict[str, list[str]] = {}
+    for kind, x in secrets.samples(99):  # of another seed than the training samples
+        if len(x) >= 10:
+            held.setdefault(kind, []).append(x)
+    for kind, own in held.items():
+        share = np.mean(judged(own))
+        assert share > 0.9 if kind in secrets.ALPHABETS else share < 0.005, (kind, share)
+    draw = random.Random(1)
+    for n, least in ((12, 0.7), (16, 0.9), (24, 0.97)):
+        assert np.mean(judged(["".join(draw.choices(secrets.ALPHABETS["base62"], k=n)) for _ in range(300)])) > least
+    x = "id 4f2d k = Xk9qZ7Lm2Vw8RtY4, see getUserAccountById2Handler"
+    base = secrets.base_spans(x)
+    assert base == [] and secrets.random_ones([x], [base], models) == [[(12, 3, 28)]]
+    # one token's ratio does not depend on its neighbours
+    both = models.ratios(["Xk9qZ7Lm2Vw8RtY4", "getUserAccount", "Xk9qZ7Lm2Vw8RtY4"])
+    assert both[0] == both[2] and np.isclose(models.ratios(["getUserAccount"])[0], both[1])
+
+
 def test_fingerprints(spark, small, odd, empty):
     for docs in (small, odd.where("doc_id not in (0, 3) and doc_id is not null")):
         rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
@@ -284,6 +308,61 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.scored(odd, labels).count() == odd.count() and toxicity.scored(empty, labels.limit(0)).count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    """Every score from vectors, cosines, votes and pools that are computed another way."""
+    draw = random.Random(12)
+    common, marks = [f"w{i}" for i in range(60)], ["bad", "awful", "vile"]
+    rows, labels = [], []
+    for i in range(260):
+        toxic = i % 5 == 0
+        own = draw.choices(common, k=draw.randrange(0, 40)) + (draw.sample(marks, draw.randint(1, 3)) if toxic and i % 15 else [])
+        rows.append((i, " ".join(own)))
+        if i % 3:
+            labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in toxicity.scored(docs, spark.createDataFrame(labels, "doc_id long, label int")).collect()}
+    counts, label = {i: Counter(t.split()) for i, t in rows}, dict(labels)
+    df = Counter(w for c in counts.values() for w in c)
+    prior = (sum(label.values()) + 1) / (len(label) + 2)
+    empty = [y for i, y in label.items() if not counts[i]]
+    base = (sum(empty) + 2 * prior) / (len(empty) + 2)
+
+    def weight(w):
+        n = sum(w in counts[i] for i in label)
+        toxic = sum(w in counts[i] for i in label if label[i])
+        return np.log(261 / (1 + df[w])) * (toxic - n * prior) ** 2 / (n * prior * (1 - prior) + 1)
+
+    weights = {w: weight(w) for w in df}
+    vector = {i: {w: (1 + np.log(k)) * weights[w] for w, k in c.items()} for i, c in counts.items()}
+    norm = {i: np.sqrt(sum(v * v for v in x.values())) for i, x in vector.items()}
+    examples = [i for i in label if norm[i] > 0]
+
+    def vote(i):
+        near = sorted((-round(sum(v * vector[j].get(w, 0) for w, v in vector[i].items()) / norm[i] / norm[j], 9), j) for j in examples if j != i or i not in label or own_too)
+        near = [(min(-c, 1), j) for c, j in near if c < 0][: toxicity.NEIGHBOURS]
+        return sum(label[j] / (1.01 - c) for c, j in near) / sum(1 / (1.01 - c) for c, _ in near) if near else base
+
+    own_too = False
+    votes = np.array([vote(i) for i in examples])
+    y = np.array([label[i] for i in examples])
+    pools = []
+    for step in range(20):
+        here = np.minimum((votes * 20).astype(int), 19) == step
+        if here.any():
+            pools.append(np.array([y[here].sum() + prior, here.sum() + 1, votes[here].sum(), here.sum()]))
+    k = 1
+    while k < len(pools):
+        if pools[k - 1][0] / pools[k - 1][1] >= pools[k][0] / pools[k][1]:
+            pools[k - 1 : k + 1] = [pools[k - 1] + pools[k]]
+            k = max(k - 1, 1)
+        else:
+            k += 1
+    own_too = True  # a scored document that is an example itself is among its neighbours
+    for i, _ in rows:
+        want = np.interp(vote(i), [p[2] / p[3] for p in pools], [p[0] / p[1] for p in pools]) if norm[i] else base
+        assert abs(got[i].score - want) < 1e-6, i
+
+
 def test_nearest_examples_are_exact():
     draw = np.random.default_rng(2)
     rows = []
