@@ -4,10 +4,10 @@ Terms are all words of the labelled examples. A text's weight of a term is (1 +
 inverse document frequency over all documents, and how far the term's share of toxic examples is from the sample's (the
 third factor of supervised term weighting, which keeps every word, but lets random rare ones weigh little).
 
-The index has postings by term, examples being in blocks of alike ones, and of terms that many examples have the
-greatest weight in each block. A search adds up the postings of its rarer terms, bounds each block by what it has and the
-common terms' greatest weights, and looks into blocks by falling bound until none can reach the k best: the k nearest
-are exact. Votes weighted by nearness are made probabilities by isotonic regression on the examples, each judged by the
+The index has postings by term, examples being in blocks of alike ones, and of the most frequent terms the greatest
+weight in each block. A search adds up the postings of its rarer terms, bounds each block by what it has and the frequent
+terms' greatest weights, looks into the blocks of the highest bounds, then into all whose bound reaches the k-th best: the
+k nearest are exact. Votes weighted by nearness are made probabilities by isotonic regression on the examples, each judged by the
 others; the neighbours are the evidence.
 
 The examples are at most `sample` labelled rows (those of smallest id hash) with at most POSTINGS different words, each
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import map_text, scratch, ship, texts
 
-#: Bounds of the fit: labelled rows, their different words; neighbours; examples in a block; share of examples that makes a term common.
-SAMPLE, POSTINGS, NEIGHBOURS, BLOCK, COMMON = 8192, 4_000_000, 25, 64, 1 / 8
+#: Bounds of the fit: labelled rows, their different words; neighbours.
+SAMPLE, POSTINGS, NEIGHBOURS = 5120, 2_500_000, 25
+#: Layout, which changes no result: examples in a block, terms whose weights are kept by block, texts searched together.
+BLOCK, COMMON, TOGETHER = 64, 1024, 128
 WORD = re.compile(r"\w+")
 
 
@@ -67,13 +69,15 @@ class Examples:
         self._index(made)
         self.knots, self.values = np.array([0.0, 1.0]), np.array([prior, prior])
         if made:
-            self._calibrate(np.array([self.vote(t, w, i)[0] for i, (_, _, t, w) in enumerate(made)]), prior)
+            self._calibrate(np.array([v for v, _, _ in self.votes([(t, w) for _, _, t, w in made], np.arange(len(made)))]), prior)
 
     def _index(self, made: list[tuple]) -> None:
         term = np.concatenate([np.empty(0, np.int64), *[r[2] for r in made]])
         example = np.repeat(np.arange(len(made)), [len(r[2]) for r in made])
         weight = np.concatenate([np.empty(0), *[r[3] for r in made]])
-        common = np.flatnonzero(np.bincount(term, minlength=len(self.weight)) > max(1, COMMON * len(made)))
+        frequency = np.bincount(term, minlength=len(self.weight))
+        common = np.argsort(-frequency, kind="stable")[:COMMON]
+        common = np.sort(common[frequency[common] > 1])
         #: A common term's column, -1 for others.
         self.column = np.full(len(self.weight), -1)
         self.column[common] = np.arange(len(common))
@@ -93,35 +97,52 @@ class Examples:
         t, w = t[w > 0], w[w > 0]
         return t, w / np.sqrt((w**2).sum()) if len(w) else w
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest: blocks by falling bound, until no bound reaches the k-th best."""
-        column = self.column[t]
-        rare, query = t[column < 0], np.zeros(self.dense.shape[2])
-        query[column[column >= 0]] = w[column >= 0]
-        lengths = self.starts[rare + 1] - self.starts[rare]
-        posts = np.repeat(self.starts[rare] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        partial = np.bincount(self.example[posts], self.posted[posts] * np.repeat(w[column < 0], lengths), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-        bounds = partial.max(1) + self.most @ query + 1e-9 if self.blocks else np.empty(0)
-        order = np.argsort(-bounds, kind="stable")
-        at, near, least, done = np.empty(0, np.int64), np.empty(0), 0.0, 0
-        while done < len(order) and (len(at) < NEIGHBOURS or bounds[order[done]] >= least):
-            here = order[done : done + max(2, done)]
-            if len(at) == NEIGHBOURS:
-                here = here[bounds[here] >= least]
-            done += max(2, done)
-            cosine = (partial[here] + self.dense[here] @ query).ravel()
-            found = (here[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = (cosine > 5e-10) & (cosine >= least) & (found != without)
-            at, near = np.append(at, found[keep]), np.append(near, cosine[keep])
-            best = np.lexsort((self.ids[at], -np.round(near, 9)))[:NEIGHBOURS]
-            at, near = at[best], near[best]
-            least = near[-1] - 1e-9 if len(at) == NEIGHBOURS else 0.0
-        return at, near
-
-    def vote(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        at, near = self.nearest(t, w, without)
-        nearness = 1 / (1.01 - np.minimum(near, 1.0))
-        return (float((nearness * self.labels[at]).sum() / nearness.sum()) if len(at) else self.base), at, near
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and cosines of the k nearest of each vector (terms, weights), but for the example at `without`."""
+        n, size = len(vectors), self.blocks * BLOCK
+        row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        t, w = np.concatenate([np.empty(0, np.int64), *[t for t, _ in vectors]]), np.concatenate([np.empty(0), *[w for _, w in vectors]])
+        often = self.column[t] >= 0
+        query = np.zeros((n, self.dense.shape[2]))
+        query[row[often], self.column[t[often]]] = w[often]
+        t, w, row = t[~often], w[~often], row[~often]
+        lengths = self.starts[t + 1] - self.starts[t]
+        posts = np.repeat(self.starts[t] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        partial = np.bincount(np.repeat(row * size, lengths) + self.example[posts], self.posted[posts] * np.repeat(w, lengths), n * size).reshape(n, self.blocks, BLOCK)
+        if without is not None:
+            partial.reshape(n, size)[np.arange(n), without] = -9.0
+        bounds = partial.max(2) + query @ self.most.T + 1e-9
+        cosine, seen = np.full((n, self.blocks, BLOCK), -9.0), np.zeros(bounds.shape, bool)
+        # the best blocks by bound, then what their k-th best leaves open
+        first = np.argpartition(-bounds, 1, 1)[:, :2] if self.blocks > 2 else np.broadcast_to(np.arange(self.blocks), bounds.shape)
+        look = np.zeros(bounds.shape, bool)
+        np.put_along_axis(look, first, True, 1)
+        least = np.full(n, 5e-10)
+        for _ in range(2):
+            for block in np.flatnonzero(look.any(0)).tolist():
+                at = np.flatnonzero(look[:, block])
+                cosine[at, block] = partial[at, block] + query[at] @ self.dense[block].T
+            seen |= look
+            found = np.take_along_axis(cosine, first[:, :, None], 1).reshape(n, -1)
+            if found.shape[1] >= NEIGHBOURS:
+                least = np.maximum(np.partition(found, -NEIGHBOURS, 1)[:, -NEIGHBOURS] - 1e-9, 5e-10)
+            look = (bounds >= least[:, None]) & ~seen
+        flat = cosine.reshape(n, size)
+        for i in range(n):
+            at = np.flatnonzero(flat[i] >= least[i])
+            near = flat[i, at]
+            order = np.lexsort((self.ids[at], -np.round(near, 9)))[:NEIGHBOURS]
+            yield at[order], near[order]
+
+    def nearest(self, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.search([(t, w)]))
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """The share of toxic ones among the nearest, weighted by nearness, and these."""
+        for i in range(0, len(vectors), TOGETHER):
+            for at, near in self.search(vectors[i : i + TOGETHER], None if without is None else without[i : i + TOGETHER]):
+                nearness = 1 / (1.01 - np.minimum(near, 1.0))
+                yield (float((nearness * self.labels[at]).sum() / nearness.sum()) if len(at) else self.base), at, near
 
     def _calibrate(self, votes: np.ndarray, prior: float) -> None:
         """Pool adjacent violators over votes in 20 steps, each smoothed towards the prior."""
@@ -135,13 +156,15 @@ class Examples:
                     pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
         self.knots, self.values = np.array([p[2] / p[3] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[int, float, int]]]:
-        """Probability and evidence: the five nearest examples' ids, cosines and labels."""
-        t, w = self.unit(terms, counts)
-        if not len(t) or not self.blocks:
-            return self.base, []
-        vote, at, near = self.vote(t, w)
-        return float(np.interp(vote, self.knots, self.values)), [(int(self.ids[i]), round(float(c), 6), int(self.labels[i])) for i, c in zip(at[:5], near[:5], strict=True)]
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        """Of texts (terms, counts) the probability and the evidence: the five nearest examples' ids, cosines and labels."""
+        vectors = [self.unit(t, c) for t, c in rows]
+        out: list[tuple[float, list[tuple[int, float, int]]]] = [(self.base, [])] * len(rows)
+        known = [i for i, (t, _) in enumerate(vectors) if len(t)] if self.blocks else []
+        for i, (vote, at, near) in zip(known, self.votes([vectors[i] for i in known]), strict=True):
+            # rounded, as a sum's last digits depend on where it stands
+            out[i] = round(float(np.interp(vote, self.knots, self.values)), 9), [(int(self.ids[k]), round(float(c), 6), int(self.labels[k])) for k, c in zip(at[:5], near[:5], strict=True)]
+        return out
 
 
 def examples(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -167,8 +190,12 @@ def examples(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Examples:
     """The index of labelled rows; labels: doc_id and label."""
-    rows = sorted(examples(documents, labels, sample).collect())
-    names = sorted({w for r in rows for w in r["words"]})
+    # words as numbers at once: as many strings as the examples have words would be a lot
+    found = examples(documents, labels, sample).orderBy("doc_id").toArrow().combine_chunks()
+    words_, counts = (found.column(c).chunk(0) if found.num_rows else pa.array([], pa.list_(t)) for c, t in (("words", pa.string()), ("counts", pa.int32())))
+    coded = words_.flatten().dictionary_encode()
+    names, codes, counts, cuts = coded.dictionary.to_pylist(), coded.indices.to_numpy(), counts.flatten().to_numpy(), words_.offsets.to_numpy()
+    rows = [(i, codes[x:y], counts[x:y], label) for i, label, x, y in zip(found.column("doc_id").to_pylist(), found.column("label").to_pylist(), cuts, cuts[1:], strict=False)]
     number = {w: i for i, w in enumerate(names)}
     held = ship(documents.sparkSession, number)  # of at most POSTINGS words
 
@@ -177,7 +204,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Exampl
         n, total = np.zeros(len(known), np.int64), 0
         for batch in batches:
             for text in texts(batch):
-                n[[known[w] for w in set(words(text)) if w in known]] += 1
+                n[list({c for w in words(text) if (c := known.get(w)) is not None})] += 1
             total += batch.num_rows
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], ["term", "n"])
@@ -185,7 +212,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Exampl
     found = map_text(documents.select("text"), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     of = dict(zip(found.column("term").to_pylist(), found.column("n").to_pylist(), strict=True))
     idf = np.array([math.log((1 + of.get(-1, 0)) / (1 + of.get(i, 0))) for i in range(len(names))])
-    return Examples(idf, [(r["doc_id"], [number[w] for w in r["words"]], r["counts"], r["label"]) for r in rows], names)
+    return Examples(idf, rows, names)
 
 
 def scored(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -195,10 +222,7 @@ def scored(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held()
         for batch in batches:
-            out = []
-            for text in texts(batch):
-                found = Counter(w for w in words(text) if w in index.number)
-                out.append(index.score([index.number[w] for w in found], list(found.values())))
+            out = index.scores([np.unique(np.array([c for w in words(text) if (c := index.number.get(w)) is not None], np.int64), return_counts=True) for text in texts(batch)])
             evidence = [[{"doc_id": a, "cosine": b, "label": c} for a, b, c in e] for _, e in out]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))], ["doc_id", "score", "evidence"])
 
