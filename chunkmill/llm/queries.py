@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprints, lines, media, mixing, near_dedup, quality, secrets, toxicity
@@ -19,10 +19,15 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def held_out(modulus: int, rest: int) -> Column:
+    """False for a row without doc_id, which has no label."""
+    return F.coalesce(fold("doc_id", modulus) == rest, F.lit(False)).alias("held_out")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     scored = quality.scored(documents, quality.fit(documents, quality.split(labels, "quality", 5, 0)))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +37,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     scored = toxicity.scored(documents, quality.split(labels, "toxic", 4, 2))
-    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+    return scored.select("doc_id", held_out(4, 2), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +61,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(read(spark, sf_dir, "documents")).drop("shard", "offset", "length")
+    return media.media_columns(read(spark, sf_dir, "documents"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +104,7 @@ kept AS (SELECT conv_id FROM whole WHERE so_far NOT IN (SELECT so_far FROM t WHE
 SELECT conv_id, n_turns, string_agg(block, '' ORDER BY place) AS chat FROM t JOIN kept USING (conv_id) GROUP BY conv_id, n_turns""",
     "op8_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || doc_id::VARCHAR) AS key FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT source, source_size, 3 * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
