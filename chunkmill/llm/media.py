@@ -2,12 +2,14 @@
 
 A text's bytes, padded, become the samples of an 8-bit grey PNG image (lossless), stored under the text's digest.
 Payloads are written where they are read, without a shuffle: a task stores a text once, and of the tasks' copies one
-is chosen that all rows refer to. Shards are tar files of bounded size in the shared folder under names of their own,
-and rows are committed after their shard is closed, so a repeated task leaves at worst a shard that no row names. Metadata columns come from range reads of the images' headers alone, the other columns from reading the
-stored range back.
+is chosen that all rows refer to. Shards are tar files of bounded size in the shared folder, named by partition and
+number; each gets its name when it is complete, so that a repeated task replaces a shard by an equal one. Metadata
+columns come from range reads of the images' headers alone, the other columns from reading the stored range back; a
+shard is opened once and read in the order of its offsets.
 
 Defined cases: null and empty texts are one padding block; equal texts share one stored image; rows without doc_id or
-that repeat one are rows like others; extra columns are passed over; texts of any length are stored whole.
+that repeat one are rows like others; ties cannot be, as a digest's place is the smallest; texts of any length are
+stored whole; an empty table gives no rows; extra columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, scratch, shared_dir, texts
+from .common import for_exit, map_text, scratch, shared_dir, texts
 
 #: Padding byte and unit, image width, bytes of a PNG's signature and header chunk.
 PAD, UNIT, WIDTH, HEADER, SIGNATURE = b"\xff", 576, 576, 33, b"\x89PNG\r\n\x1a\n"
@@ -79,16 +82,17 @@ def feature(width: int, height: int, x: np.ndarray) -> str:
 class Shards:
     """Writes members to tar files of bounded size in a folder that every executor can reach."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, task: int):
         self.files, self.root = fs.FileSystem.from_uri(folder)
         self.files.create_dir(self.root)
-        self.out, self.name, self.at = None, "", 0
+        self.out, self.task, self.number, self.name, self.at, self.written = None, task, 0, "", 0, ""
 
     def add(self, name: str, data: bytes) -> tuple[str, int, int]:
         if self.out is None or self.at > SHARD:
             self.close()
-            self.name, self.at = f"{uuid.uuid4().hex}.tar", 0
-            self.out = self.files.open_output_stream(f"{self.root}/{self.name}")
+            self.name, self.number, self.at = f"{self.task:07d}-{self.number:05d}.tar", self.number + 1, 0
+            self.written = f"{self.root}/{self.name}.{uuid.uuid4().hex}"
+            self.out = self.files.open_output_stream(self.written)
         info = tarfile.TarInfo(name)
         info.size = len(data)
         head = info.tobuf(tarfile.USTAR_FORMAT)
@@ -103,13 +107,14 @@ class Shards:
             self.out.write(bytes(2 * tarfile.BLOCKSIZE))
             self.out.close()
             self.out = None
+            self.files.move(self.written, f"{self.root}/{self.name}")
 
 
 def stored(documents: DataFrame, folder: str) -> DataFrame:
     """Writes the shards; (digest, shard, offset, length) of the stored copy of every distinct text that rows refer to."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, seen, out = Shards(folder), set(), []
+        shards, seen, out = Shards(folder, TaskContext.get().partitionId()), set(), []
         for batch in batches:
             for text in texts(batch):
                 data = text.encode("utf-8", "surrogatepass")
@@ -136,6 +141,8 @@ def read_back(places: DataFrame, folder: str) -> DataFrame:
             out = []
             for digest, where, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
                 if where != name:
+                    if shard:
+                        shard.close()
                     name, shard = where, files.open_input_file(f"{root}/{where}")
                 width, height, _ = header(shard.read_at(HEADER, offset))
                 whole = shard.read_at(length, offset)
@@ -143,14 +150,16 @@ def read_back(places: DataFrame, folder: str) -> DataFrame:
                 out.append((digest, width, height, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(whole), hashlib.sha256(whole).hexdigest(), feature(width, height, np.frombuffer(data, np.uint8))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["digest", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return map_text(places, rows, "digest binary, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    # a shard's rows meet in a task, in the order in which they are stored
+    return map_text(places.repartition("shard").sortWithinPartitions("shard", "offset"), rows, "digest binary, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the columns of the stored media of every row, with its place (shard, offset, length)."""
     folder = f"{shared_dir(documents.sparkSession)}/media-{uuid.uuid4().hex}"
-    places = stored(documents, folder)
+    places = scratch(stored(documents, folder), "places")
+    for_exit(documents.sparkSession, folder)
     known = scratch(places.join(read_back(places, folder), "digest"), "read-back")
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("digest"))
-    return rows.join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset", "length")
+    return rows.join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.lower(F.hex("digest")).alias("digest"), "shard", "offset", "length", "width", "height")
