@@ -5,12 +5,13 @@ spans are compared in constant time, longest common extensions are found by bina
 the prime 2^31 - 1 with two bases. A fingerprint is the length, the hash of the whole text and a sample of the hashes
 of all its spans of WIDTH code points: the K smallest after mixing, which estimate how alike two texts' span sets are.
 
-Documents are compared with their successor by doc_id: rows are dealt out by ranges of doc_id, and every range also
-gets the first row of the next one; only the bounds of ranges are known to the driver.
+Documents are compared with their successor by doc_id: rows are dealt out by ranges of doc_id and text hash, and every
+range also gets the first row of the next one; only the bounds of ranges are known to the driver.
 
 Defined cases: null is the empty text, whose sample is empty, like only to another empty text; texts shorter than
-WIDTH have one span; rows without doc_id come last, rows that repeat one are ordered by text; the last row's
-successor is the first row, a single row's itself; extra columns are passed over.
+WIDTH have one span; rows without doc_id come last, rows that repeat one are ordered by their texts' hash; the last
+row's successor is the first row, a single row's itself; texts of any length are read whole; an empty table gives no
+rows; extra columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import map_text, mix
 
 #: Fixed value: the modulus. Two bases, code points to a span, hashes in a sample.
-PRIME, BASES, WIDTH, K = (1 << 31) - 1, (911382323, 972663749), 24, 64
-#: Rows to a range.
-RANGE_ROWS = 2000
+PRIME, BASES, WIDTH, K = (1 << 31) - 1, (911382323, 972663749), 24, 128
+#: Rows to a range, rows of a sample to each bound.
+RANGE_ROWS, DRAWN = 2000, 20
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -166,28 +167,31 @@ def edited_fingerprint(e: Edited, a_spans: np.ndarray, b_spans: np.ndarray) -> s
 
 def with_successors(documents: DataFrame) -> DataFrame:
     """(range, extra, doc_id, text), sorted within partitions; extra: 1 for the row that follows the range's last."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = docs.select("doc_id")
-    rows = ids.count()
+    key = F.struct(F.col("doc_id").isNull().cast("long").alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
+    docs = documents.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keys = docs.select("key")
+    rows = keys.count()
     side = 1
     while side * side * RANGE_ROWS < rows and side < 256:
         side += 1
     n = side * side
-    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * side) if n > 1 else F.lit(None)).first()[0] or []
-    bounds = [*found, *[2**63 - 1] * (n - 1 - len(found))]
+    # ids may repeat and miss, so bounds are of whole keys: quantiles of at most about DRAWN * n rows
+    drawn = sorted(tuple(r[0]) for r in keys.sample(min(1.0, DRAWN * n / max(rows, 1)), 1).collect()) if n > 1 else []
+    last = (2, 0, 0)
+    bounds = [drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else [last] * (n - 1)
     coarse, fine = bounds[side - 1 :: side], [bounds[i * side : i * side + side - 1] for i in range(side)]
-    at = lambda values: F.size(F.filter(values, lambda b: b <= F.col("doc_id")))  # noqa: E731  two searches of few bounds each
-    longs = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
-    ranged = F.when(F.col("doc_id").isNull(), n).otherwise(F.col("c") * side + at(F.element_at(F.array(*map(longs, fine)), F.col("c") + 1)))
-    put = lambda df: df.withColumn("c", at(longs(coarse))).withColumn("range", ranged.cast("int")).drop("c")
-    heads = {r[0]: r[1] for r in put(ids).groupBy("range").agg(F.min("doc_id")).collect()}  # a row for each range
+    key_type = "array<struct<none: bigint, id: bigint, h: bigint>>"
+    of = lambda values: F.array(*[F.struct(*map(F.lit, v)) for v in values]).cast(key_type)
+    at = lambda values: F.size(F.filter(values, lambda b: b <= F.col("key")))  # noqa: E731  two searches of few bounds each
+    placed = lambda df: df.withColumn("c", at(of(coarse))).withColumn("range", (F.col("c") * side + at(F.element_at(F.array(*map(of, fine)), F.col("c") + 1))).cast("int")).drop("c")
+    heads = {r[0]: tuple(r[1]) for r in placed(keys).groupBy("range").agg(F.min("key")).collect()}  # a row for each range
     filled = sorted(heads)
     before = {r: filled[i - 1] for i, r in enumerate(filled)}
-    head, previous = longs([heads.get(i) for i in range(n + 1)]), F.array(*[F.lit(before.get(i, -1)) for i in range(n + 1)])
-    placed = put(docs)
-    also = placed.where(F.expr("doc_id").eqNullSafe(F.element_at(head, F.col("range") + 1))).select(F.element_at(previous, F.col("range") + 1).alias("range"), F.lit(1).alias("extra"), "doc_id", "text")
-    both = placed.select("range", F.lit(0).alias("extra"), "doc_id", "text").union(also)
-    return both.repartitionById(n + 1, F.col("range")).sortWithinPartitions("range", "extra", F.col("doc_id").asc_nulls_last(), "text")
+    head, previous = of([heads.get(i, last) for i in range(n)]), F.array(*[F.lit(before.get(i, -1)) for i in range(n)])
+    docs = placed(docs)
+    also = docs.where(F.col("key") == F.element_at(head, F.col("range") + 1)).select(F.element_at(previous, F.col("range") + 1).alias("range"), F.lit(1).alias("extra"), "key", "doc_id", "text")
+    both = docs.select("range", F.lit(0).alias("extra"), "key", "doc_id", "text").union(also)
+    return both.repartitionById(n, F.col("range")).sortWithinPartitions("range", "extra", "key", "text").drop("key")
 
 
 def fingerprinted(documents: DataFrame) -> DataFrame:
