@@ -8,7 +8,9 @@ number at any size); scoring is one pass over the whole table without a shuffle.
 
 Defined cases: null is the empty text, it has no n-grams and gets the score of a zero vector; rows without a label,
 or of labels without documents, take no part in the fit; with labels of one class only, every score is that class's
-share; rows that repeat a doc_id are scored alike by their own text; extra columns are passed over.
+share; rows that repeat a doc_id are scored by their own text, and the smallest of their texts is fitted to; texts of
+any length are scored whole; ties cannot be; an empty table gives no rows and, fitted to, the score 0.5; extra columns
+are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -129,8 +131,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """labels: doc_id and label (0 or 1). Equal labels of an id count once, of different ones the largest counts."""
     chosen = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most `sample` rows of two numbers
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # at most `sample` rows of two numbers; an id that many rows repeat meets as one row a task
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, np.int64)
@@ -140,7 +142,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = map_text(rows.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text"), features, "doc_id long, label int, grams binary").collect()
     # by a hash: which rows calibrate has nothing to do with the order of ids
     got = sorted(got, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % 2**64, r["grams"]))
-    return Model([np.frombuffer(r["grams"], np.uint16).astype(np.int64) for r in got], np.array([float(r["label"]) for r in got]))
+    return Model([np.frombuffer(r["grams"], np.uint16) for r in got], np.array([float(r["label"]) for r in got]))
 
 
 def scored(documents: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
