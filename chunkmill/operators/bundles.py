@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codecs import compress
+from ..functions.codecs import codec, compress
 
 #: Payload of a bundle in bytes.
 PAYLOAD = 2 << 20
@@ -56,19 +56,40 @@ def stats(packed_: DataFrame) -> DataFrame:
     return packed_.groupBy("session", "bundle_id").agg(F.count("*").alias("chunks"), F.sum("size").alias("payload"))
 
 
+def behind(packed_: DataFrame, index: DataFrame) -> DataFrame:
+    """Packed chunks with bundle_ids that go on behind the last bundle that the index has of the session."""
+    last = index.groupBy("session").agg(F.max("bundle_id").alias("last"))
+    return packed_.join(last, "session", "left").withColumn("bundle_id", F.col("bundle_id") + F.coalesce(F.col("last") + 1, F.lit(0))).drop("last")
+
+
 def stored(packed_: DataFrame, payloads: DataFrame, method: str = "lzma", level: int = 6) -> DataFrame:
     """Bundles with their records and compressed payload; payloads: crypto, bytes."""
-    record = F.struct("pos", "crypto", "size", "bytes")
-    bundles = packed_.join(payloads.select("crypto", "bytes"), "crypto").groupBy("session", "bundle_id").agg(F.array_sort(F.collect_list(record)).alias("r"))
-    data = F.aggregate("r", F.lit(b""), lambda a, x: F.concat(a, x["bytes"]))
+    record = F.struct("pos", "crypto", "size")
+    rows = packed_.join(payloads.select("crypto", "bytes"), "crypto").groupBy("session", "bundle_id")
+    bundles = rows.agg(F.array_sort(F.collect_list(record)).alias("r"), F.expr("listagg(bytes) WITHIN GROUP (ORDER BY pos)").alias("data"))
     records = F.transform("r", lambda x: F.struct(x["crypto"].alias("crypto"), x["size"].alias("size")))
-    return bundles.select("session", "bundle_id", F.lit(method).alias("method"), records.alias("records"), compress(data, method, level).alias("payload"))
+    return bundles.select("session", "bundle_id", F.lit(method).alias("method"), records.alias("records"), compress(F.col("data"), method, level).alias("payload"))
 
 
 def unpacked(bundles: DataFrame) -> DataFrame:
-    """(session, bundle_id, crypto, size, bytes) of stored bundles: slices at the running sums of sizes."""
-    from ..functions.codecs import decompress
+    """(session, bundle_id, pos, crypto, size, bytes) of stored bundles, each decompressed and sliced once.
+
+    A bundle without a method is of the first version, which knew lzma alone. A payload that is not as long as its
+    records say is an error.
+    """
 
-    cut = bundles.withColumn("data", decompress(F.col("payload"), F.col("method"))).select("session", "bundle_id", "data", "records", F.posexplode("records").alias("pos", "x"))
-    start = F.aggregate(F.slice("records", F.lit(1), F.col("pos")), F.lit(0), lambda a, x: a + x["size"])
-    return cut.select("session", "bundle_id", "pos", "x.crypto", "x.size", F.substring(F.col("data"), start + 1, F.col("x.size")).alias("bytes"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for session, bundle, method, records, payload in zip(*(batch.column(c).to_pylist() for c in ("session", "bundle_id", "method", "records", "payload")), strict=True):
+                data = codec(method or "lzma")[1](payload)
+                sizes = [r["size"] for r in records]
+                ends = np.cumsum(sizes, dtype=np.int64).tolist()
+                if (ends[-1] if ends else 0) != len(data):
+                    raise ValueError(f"bundle {bundle} of {session} does not hold what its records say")
+                n = len(records)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([session] * n, pa.string()), pa.array([bundle] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([r["crypto"] for r in records], pa.string()), pa.array(sizes, pa.int32()), pa.array([data[e - k : e] for e, k in zip(ends, sizes, strict=True)], pa.binary())],
+                    ["session", "bundle_id", "pos", "crypto", "size", "bytes"],
+                )
+
+    return bundles.select("session", "bundle_id", "method", "records", "payload").mapInArrow(rows, "session string, bundle_id long, pos int, crypto string, size int, bytes binary")

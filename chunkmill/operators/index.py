@@ -33,9 +33,10 @@ def misses(chunks: DataFrame, index: DataFrame) -> DataFrame:
 
 def located(chunks: DataFrame, packed: DataFrame) -> DataFrame:
     """Chunks with the bundle that holds them; one that is nowhere is an error."""
+    from .restore import sure
+
     found = chunks.join(packed.select("crypto", F.col("session").alias("bundle_session"), "bundle_id", "pos"), "crypto", "left")
-    sure = F.when(F.col("bundle_id").isNotNull(), F.col("bundle_id")).otherwise(F.raise_error(F.concat(F.lit("no such chunk: "), F.col("crypto"))))
-    return found.withColumn("bundle_id", sure)
+    return sure(found, F.col("bundle_id").isNotNull(), F.concat(F.lit("no such chunk: "), F.col("crypto")))
 
 
 def rolling_collisions(payloads: DataFrame) -> DataFrame:

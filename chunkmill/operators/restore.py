@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def sure(rows: DataFrame, holds: Column, what: Column) -> DataFrame:
+    """The rows, all of which must hold, or an error says what: a condition on rows, which no selection of columns takes away."""
+    return rows.where(F.when(holds, F.lit(True)).otherwise(F.raise_error(what).cast("boolean")))
+
+
 def offsets(instructions: DataFrame) -> DataFrame:
     """Instructions with the offset of what each emits: the running sum of sizes before it."""
     earlier = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -18,8 +23,8 @@ def offsets(instructions: DataFrame) -> DataFrame:
 def emitted(instructions: DataFrame, payloads: DataFrame) -> DataFrame:
     """Instructions with the bytes that they emit; payloads: crypto, bytes. A chunk that is nowhere is an error."""
     found = instructions.join(payloads.select("crypto", F.col("bytes").alias("chunk")), "crypto", "left")
-    lost = F.raise_error(F.concat(F.lit("no such chunk: "), F.col("crypto"))).cast("binary")
-    return found.withColumn("bytes", F.when(F.col("crypto").isNull(), F.col("inline")).when(F.col("chunk").isNotNull(), F.col("chunk")).otherwise(lost)).drop("chunk")
+    found = sure(found, F.col("crypto").isNull() | F.col("chunk").isNotNull(), F.concat(F.lit("no such chunk: "), F.col("crypto")))
+    return found.withColumn("bytes", F.coalesce("chunk", "inline")).drop("chunk")
 
 
 def restored(instructions: DataFrame, payloads: DataFrame, streams: DataFrame) -> DataFrame:
@@ -33,27 +38,36 @@ def verified(restored_: DataFrame, manifests: DataFrame) -> DataFrame:
     """restored() rows; a checksum or size that differs from the manifest's (stream_id, size, sha256) is an error."""
     both = restored_.join(manifests.select("stream_id", F.col("size").alias("n"), F.col("sha256").alias("sha")), "stream_id")
     good = (F.col("size") == F.col("n")) & (F.col("sha256") == F.col("sha"))
-    checked = F.when(good, F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("checksum mismatch in stream "), F.col("stream_id").cast("string"))))
-    return both.withColumn("sha256", checked).drop("n", "sha")
+    return sure(both, good, F.concat(F.lit("checksum mismatch in stream "), F.col("stream_id").cast("string"))).drop("n", "sha")
+
+
+def asked_for(instructions: DataFrame, requests: DataFrame) -> DataFrame:
+    """The different requests (stream_id, start, length); a range outside of its stream is an error."""
+    total = instructions.groupBy("stream_id").agg(F.sum("size").alias("total"))
+    sized = requests.select("stream_id", "start", "length").distinct().join(total, "stream_id", "left")
+    inside = (F.col("start") >= 0) & (F.col("length") >= 0) & (F.col("start") + F.col("length") <= F.coalesce("total", F.lit(0)))
+    return sure(sized, F.coalesce(inside, F.lit(False)), F.lit("out of range")).drop("total")
+
+
+def met_by(instructions: DataFrame, asked: DataFrame) -> DataFrame:
+    """Instructions with their offset, and start and length of each request that they overlap."""
+    overlap = (F.col("offset") < F.col("start") + F.col("length")) & (F.col("offset") + F.col("size") > F.col("start"))
+    return offsets(instructions).join(asked, "stream_id").where(overlap)
 
 
 def ranges(instructions: DataFrame, payloads: DataFrame, requests: DataFrame) -> DataFrame:
     """(stream_id, start, length, bytes) of requests (stream_id, start, length); a range outside of its stream is an error.
 
-    Only chunks that a range overlaps are fetched: the interval condition comes before the join with the payloads.
+    Requests that are repeated are each answered. Of the payloads only chunks that a range overlaps are joined.
     """
-    placed = offsets(instructions)
-    total = placed.groupBy("stream_id").agg(F.sum("size").alias("total"))
-    sized = requests.join(total, "stream_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    inside = (F.col("start") >= 0) & (F.col("length") >= 0) & (F.col("start") + F.col("length") <= F.col("total"))
-    sized = sized.withColumn("length", F.when(inside, F.col("length")).otherwise(F.raise_error(F.lit("out of range"))))
-    overlap = (F.col("offset") < F.col("start") + F.col("length")) & (F.col("offset") + F.col("size") > F.col("start"))
-    met = emitted(placed.join(sized, "stream_id").where(overlap), payloads)
+    asked = asked_for(instructions, requests)
+    met = emitted(met_by(instructions, asked), payloads)
     skip = F.greatest(F.col("start") - F.col("offset"), F.lit(0))
     take = F.least(F.col("start") + F.col("length") - F.col("offset"), F.col("size")) - skip
     piece = F.substring(F.col("bytes"), (skip + 1).cast("int"), take.cast("int"))
     parts = met.select("stream_id", "start", "length", "seq", piece.alias("piece")).groupBy("stream_id", "start", "length").agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY seq)").alias("bytes"))
-    return sized.select("stream_id", "start", "length").join(parts, ["stream_id", "start", "length"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(b"")))
+    answers = asked.join(parts, ["stream_id", "start", "length"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(b"")))
+    return requests.select("stream_id", "start", "length").join(answers, ["stream_id", "start", "length"])
 
 
 def chunk_map(instructions: DataFrame, packed: DataFrame) -> DataFrame:

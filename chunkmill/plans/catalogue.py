@@ -6,8 +6,6 @@ A row of `documents` is a stream, its source the session that stored it. Chunks
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +73,11 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(spark, sf_dir).join(first, ["stream_id", "seq"]).select("crypto", "bytes")
 
 
+def unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(crypto, bytes) read back from stored bundles."""
+    return bundles.unpacked(bundles.stored(packed(spark, sf_dir), payloads(spark, sf_dir), "zlib", 1)).select("crypto", "bytes")
+
+
 def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("stream_id"))
 
@@ -170,7 +173,8 @@ def dedup_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PROBES = _INDEX + f""",
-bench AS (SELECT item_id AS stream_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM benchmark),
+second AS (SELECT item_id AS stream_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+bench AS (SELECT stream_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM second),
 probe AS (
   SELECT stream_id, seq, size, substr(sha1(unhex(hx)), 1, 32) AS crypto
   FROM (SELECT stream_id, i::INTEGER AS seq, least({M}, n - i * {M})::INTEGER AS size, substr(h, i * {2 * M} + 1, {2 * M}) AS hx FROM (SELECT *, unnest(range(0, (n + {M - 1}) // {M})) AS i FROM bench))
@@ -178,7 +182,9 @@ probe AS (
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = sources.text_streams(read(spark, sf_dir, "benchmark"), "item_id", "text", None)
+    """Chunks of a second repository: the benchmark's items and the labelled documents."""
+    labelled = read(spark, sf_dir, "documents").select("doc_id", "text").join(read(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    other = sources.text_streams(read(spark, sf_dir, "benchmark").select("item_id", "text").union(labelled), "item_id", "text", None)
     return chunking.instructions(chunking.fixed_pieces(other, M)).select("stream_id", "seq", "size", "crypto")
 
 
@@ -223,7 +229,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE_SQL["stream_profile"])
 def restore_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = restore.restored(made(spark, sf_dir), payloads(spark, sf_dir), streams(spark, sf_dir))
+    found = restore.restored(made(spark, sf_dir), unpacked(spark, sf_dir), streams(spark, sf_dir))
     return restore.verified(found, restore.inspect_fast(streams(spark, sf_dir))).select("stream_id", "size", "sha256")
 
 
@@ -232,7 +238,7 @@ SELECT stream_id, (n // 3)::BIGINT AS start, (n // 4)::BIGINT AS length, sha256(
 def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.octet_length("payload")
     asked = streams(spark, sf_dir).select("stream_id", F.floor(n / 3).alias("start"), F.floor(n / 4).alias("length"))
-    return restore.ranges(made(spark, sf_dir), payloads(spark, sf_dir), asked).select("stream_id", "start", "length", F.sha2("bytes", 256).alias("sha256"))
+    return restore.ranges(made(spark, sf_dir), unpacked(spark, sf_dir), asked).select("stream_id", "start", "length", F.sha2("bytes", 256).alias("sha256"))
 
 
 _MAP = _PACKED + """,
@@ -332,7 +338,14 @@ def bundle_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session", "bundle_id", "pos", "crypto", "size", (hashing.crypto(F.col("bytes")) == F.col("crypto")).alias("same"))
 
 
-@query()
+_BYTE = "('0x' || substr(hx, (2 * j + 1)::INTEGER, 2))::UTINYINT::HUGEINT"
+
+
+@query(_PIECES + f"""
+SELECT s.stream_id, ((s.n + coalesce(sum((s.n - p."offset") * p.total - p.placed), 0)) % 65521 * 65536 + (1 + coalesce(sum(p.total), 0)) % 65521)::BIGINT AS adler32
+FROM streams s LEFT JOIN (
+  SELECT stream_id, "offset", list_sum(list_transform(range(0, size), lambda j: {_BYTE}))::HUGEINT AS total, list_sum(list_transform(range(0, size), lambda j: j * {_BYTE}))::HUGEINT AS placed FROM pieces) p
+  ON p.stream_id = s.stream_id GROUP BY s.stream_id, s.n""")
 def adler32_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams(spark, sf_dir).select("stream_id", hashing.adler32("payload").alias("adler32"))
 
@@ -344,7 +357,9 @@ def sliding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     The index holds blocks of PASSAGE bytes, or as long as the shortest item, so every item has one: an item's from
     every offset, so that quotes from its middle are found, and a document's fixed blocks.
     """
-    other = sources.text_streams(read(spark, sf_dir, "benchmark"), "item_id", "text", None)
+    """Chunks of a second repository: the benchmark's items and the labelled documents."""
+    labelled = read(spark, sf_dir, "documents").select("doc_id", "text").join(read(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    other = sources.text_streams(read(spark, sf_dir, "benchmark").select("item_id", "text").union(labelled), "item_id", "text", None)
     shortest = other.where(F.octet_length("payload") > 0).agg(F.min(F.octet_length("payload"))).first()[0]
     size = min(PASSAGE, shortest or PASSAGE)
     own = streams(spark, sf_dir)
@@ -386,16 +401,29 @@ def iterated_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_INDEX + " SELECT session, count(*)::BIGINT AS chunks, sum(size)::BIGINT AS bytes FROM idx GROUP BY session")
 def incremental_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of micro-batches; the index that results is the batch's."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}") + f"/sessions-{spark._jvm.java.util.UUID.randomUUID()}"
+    root = f"{sources.shared_dir(spark)}/sessions-{spark._jvm.java.util.UUID.randomUUID()}"
     source = spark.readStream.schema(read(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
     run_sessions(sources.text_streams(source), root, M, CAP, slide=False).awaitTermination()  # fixed blocks, as in the SQL
     return spark.read.parquet(f"{root}/index").groupBy("session").agg(F.count("*").alias("chunks"), F.sum(F.col("size").cast("long")).alias("bytes"))
 
 
-@query()
+_TREE = ["r", "r/a", "r/a/.no-backup", "r/a/b", "r/a/b/.backup", "r/a/b/f", "r/.no-backup-c", "r/c", "r/d", "r/d/.no-backup", "r/d/.backup", "r/a/.backup-e", "r/a/e", "r/a/x"]
+_FOLDERS = {"r", "r/a", "r/a/b", "r/c", "r/d"}
+_ENTRIES = [(p, p.rpartition("/")[0] or None, p.rpartition("/")[2], p in _FOLDERS, False) for p in _TREE]
+
+
+@query(f"""
+WITH RECURSIVE t(path, parent, name, is_dir) AS (VALUES {", ".join(f"('{p}', {f"'{up}'" if up else "NULL"}, '{name}', {d})" for p, up, name, d, _ in _ENTRIES)}),
+m AS (
+  SELECT *, is_dir AND EXISTS (FROM t x WHERE x.parent = t.path AND x.name = '.backup' AND NOT x.is_dir) AS yes, is_dir AND EXISTS (FROM t x WHERE x.parent = t.path AND x.name = '.no-backup') AS no,
+    EXISTS (FROM t x WHERE x.parent = t.parent AND x.name = '.backup-' || t.name AND NOT x.is_dir) AS named_yes, EXISTS (FROM t x WHERE x.parent = t.parent AND x.name = '.no-backup-' || t.name AND NOT x.is_dir) AS named_no
+  FROM t),
+walk AS (
+  SELECT path, is_dir, true AS above, CASE WHEN yes THEN true WHEN no THEN false ELSE true END AS included FROM m WHERE parent IS NULL
+  UNION ALL
+  SELECT m.path, m.is_dir, w.included, CASE WHEN m.yes THEN true WHEN m.no THEN false WHEN w.included AND m.named_no THEN false WHEN NOT w.included AND m.named_yes THEN true ELSE w.included END
+  FROM walk w JOIN m ON m.parent = w.path WHERE w.is_dir)
+SELECT path, included, included <> above AS flips FROM walk""")
 def include_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixture tree with every kind of marker."""
-    names = ["r", "r/a", "r/a/.no-backup", "r/a/b", "r/a/b/.backup", "r/a/b/f", "r/.no-backup-c", "r/c", "r/d", "r/d/.no-backup", "r/d/.backup", "r/a/.backup-e", "r/a/e", "r/a/x"]
-    folders = {"r", "r/a", "r/a/b", "r/c", "r/d"}
-    rows = [(p, p.rpartition("/")[0] or None, p.rpartition("/")[2], p in folders, False) for p in names]
-    return rules.decided(spark.createDataFrame(rows, "path string, parent string, name string, is_dir boolean, is_symlink boolean"))
+    return rules.decided(spark.createDataFrame(_ENTRIES, "path string, parent string, name string, is_dir boolean, is_symlink boolean"))

@@ -1,18 +1,22 @@
 """A repository: tables in one folder, and the commands on it.
 
-    root/config, root/key        one-row JSON files
-    root/backups                 stream_id, path, size, sha256, iterations
-    root/instructions            stream_id, session, seq, offset, size, crypto, inline
-    root/index/snapshot=N        session, bundle_id, pos, crypto, size, digest
-    root/bundles/snapshot=N      session, bundle_id, method, records, payload
-
-A session appends; a collection writes the next snapshot, then names it in the config, then deletes the old one.
+    root/config.N, root/key.N       one-row JSON files; the greatest N counts
+    root/backups/listing=N          stream_id, path, size, sha256, iterations, session
+    root/instructions/listing=N     stream_id, session, seq, offset, size, crypto, inline
+    root/index/snapshot=N           session, bundle_id, pos, crypto, size, digest
+    root/bundles/snapshot=N         session, bundle_id, method, records, payload
+
+A session is stored under a name that is never used again: bundles, then the index, then instructions, and its rows of
+`backups` last. These commit it: instructions of a session without them are not read, and what a broken session left
+of chunks is good to refer to or goes with the next collection. A collection writes the next snapshot, forgetting the
+next listing; the config then names it, and the old one is deleted.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +28,12 @@ from ..operators import bundles as packing
 from ..operators import chunking, exchange, gc, index, restore
 
 
+#: Of the format; a repository of a later one is not opened.
+VERSION = 1
+#: Options by name, and the fields that hold them.
+OPTIONS = {"chunk.max_size": "chunk_max_size", "bundle.max_payload_size": "bundle_max_payload_size", "bundle.compression_method": "compression_method", "lzma.compression_level": "lzma_level"}
+
+
 @dataclass(frozen=True)
 class Config:
     """Storable options, with their defaults."""
@@ -33,19 +43,37 @@ class Config:
     compression_method: str = "lzma"
     lzma_level: int = 6
     snapshot: int = 0
-
-    def changed(self, option: str, value: str) -> Config:
-        """One option from its text, e.g. chunk.max_size = 64KiB."""
-        if option in ("chunk.max_size", "bundle.max_payload_size"):
-            return replace(self, **{option.replace(".", "_"): parse_size(value)})
-        if option in ("compression", "bundle.compression_method"):
+    listing: int = 0
+    version: int = VERSION
+
+    def changed(self, option: str, value: str | None) -> Config:
+        """One option from its text, e.g. chunk.max_size = 64KiB; None is its default."""
+        option = {"compression": "bundle.compression_method"}.get(option, option)
+        if option not in OPTIONS:
+            raise ValueError(f"no such option: {option}")
+        name = OPTIONS[option]
+        if value is None:
+            return replace(self, **{name: getattr(Config(), name)})
+        if option.endswith("_size"):
+            return replace(self, **{name: parse_size(value)})
+        if option == "bundle.compression_method":
             codecs.codec(value)
             return replace(self, compression_method=value)
-        if option == "lzma.compression_level":
-            if not 0 <= int(value) <= 19:
-                raise ValueError("levels are from 0 to 19")
-            return replace(self, lzma_level=int(value))
-        raise ValueError(f"no such option: {option}")
+        if not 0 <= int(value) <= 19:
+            raise ValueError("levels are from 0 to 19")
+        return replace(self, lzma_level=int(value))
+
+    def shown(self) -> dict[str, str]:
+        """Every option's text."""
+        return {option: str(getattr(self, name)) for option, name in OPTIONS.items()}
+
+
+SCHEMAS = {
+    "index": "session string, bundle_id long, pos int, crypto string, size int, digest long",
+    "bundles": "session string, bundle_id long, method string, records array<struct<crypto: string, size: int>>, payload binary",
+    "backups": "stream_id long, path string, size long, sha256 string, iterations int, session string",
+    "instructions": "stream_id long, session string, seq int, offset long, size int, crypto string, inline binary",
+}
 
 
 class Repository:
@@ -59,18 +87,30 @@ class Repository:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _versions(self, name: str) -> list[int]:
+        if not self._fs().exists(self._path("")):
+            return []
+        names = [f.getPath().getName() for f in self._fs().listStatus(self._path(""))]
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(rf"{name}\.(\d+)", n)))
+
     def _save(self, name: str, value: dict) -> None:
-        out = self._fs().create(self._path(name + ".new"), True)
+        """The next version appears at once, by a rename; the ones before go afterwards."""
+        old = self._versions(name)
+        new = (old[-1] if old else 0) + 1
+        at = f"{name}.new-{uuid.uuid4().hex}"
+        out = self._fs().create(self._path(at), True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        self._fs().delete(self._path(name), False)
-        self._fs().rename(self._path(name + ".new"), self._path(name))
+        if not self._fs().rename(self._path(at), self._path(f"{name}.{new}")):
+            raise FileExistsError(f"{name} was changed meanwhile")
+        for n in old:
+            self._fs().delete(self._path(f"{name}.{n}"), False)
 
     def _load(self, name: str) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/{name}.{self._versions(name)[-1]}", wholetext=True).first()[0])
 
     def _has(self, name: str) -> bool:
-        return self._fs().exists(self._path(name))
+        return bool(self._versions(name))
 
     @classmethod
     def init(cls, spark: SparkSession, root: str, config: Config = Config(), password: str | None = None) -> Repository:
@@ -95,9 +135,13 @@ class Repository:
 
     @property
     def config(self) -> Config:
-        return Config(**self._load("config"))
+        found = Config(**self._load("config"))
+        if found.version > VERSION:
+            raise ValueError(f"the repository is of version {found.version}, known are those up to {VERSION}")
+        return found
 
-    def set_option(self, option: str, value: str) -> None:
+    def set_option(self, option: str, value: str | None) -> None:
+        """Sets an option, or with None puts it back to its default."""
         self._save("config", asdict(self.config.changed(option, value)))
 
     def _key_info(self) -> codecs.KeyInfo:
@@ -114,41 +158,62 @@ class Repository:
             raise ValueError("the repository is not encrypted")
         self._save("key", {k: v.hex() if isinstance(v, bytes) else v for k, v in asdict(codecs.new_password(self.spark, self._key_info(), old, new)).items()})
 
+    def _at(self, name: str, config: Config) -> str:
+        return f"{self.root}/{name}/" + (f"snapshot={config.snapshot}" if name in ("index", "bundles") else f"listing={config.listing}")
+
     def table(self, name: str) -> DataFrame:
-        at = f"{self.root}/{name}" + (f"/snapshot={self.config.snapshot}" if name in ("index", "bundles") else "")
-        schema = {"index": "session string, bundle_id long, pos int, crypto string, size int, digest long", "bundles": "session string, bundle_id long, method string, records array<struct<crypto: string, size: int>>, payload binary", "backups": "stream_id long, path string, size long, sha256 string, iterations int", "instructions": "stream_id long, session string, seq int, offset long, size int, crypto string, inline binary"}[name]
+        """Rows of a table; instructions are those of committed sessions."""
+        at = self._at(name, self.config)
         found = self._fs().exists(self.spark._jvm.org.apache.hadoop.fs.Path(at))
-        return self.spark.read.schema(schema).parquet(at) if found else self.spark.createDataFrame([], schema)
-
-    def payloads(self, password: str | None = None) -> DataFrame:
-        """(crypto, bytes) of everything stored."""
-        key, bundles = self._key(password), self.table("bundles")
-        if key is not None:
-            bundles = bundles.withColumn("payload", codecs.decrypt(F.col("payload"), F.lit(key)))
-        return packing.unpacked(bundles).select("crypto", "bytes")
-
-    def _append(self, packed: DataFrame, payloads: DataFrame, key: bytes | None, snapshot: int) -> None:
-        c = self.config
-        stored = packing.stored(packed, payloads, c.compression_method, c.lzma_level)
-        if key is not None:
-            stored = stored.withColumn("payload", codecs.encrypt(F.col("payload"), F.lit(key)))
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(at) if found else self.spark.createDataFrame([], SCHEMAS[name])
+        if name == "instructions":
+            rows = rows.join(self.table("backups").select("session").distinct(), "session", "left_semi").select(rows.columns)
+        return rows
+
+    def _bundles(self, wanted: DataFrame | None = None) -> DataFrame:
+        """Stored bundles; of wanted chunks (crypto) only those that hold one. A wanted chunk that is nowhere is an error."""
+        bundles = self.table("bundles")
+        if wanted is None:
+            return bundles
+        places = index.located(wanted.select("crypto").distinct(), self.table("index"))
+        places = places.select(F.col("bundle_session").alias("session"), "bundle_id").distinct()
+        return bundles.join(places, ["session", "bundle_id"], "left_semi")
+
+    def _opened(self, bundles: DataFrame, key: bytes | None) -> DataFrame:
+        return bundles if key is None else bundles.withColumn("payload", codecs.decrypt(F.col("payload"), F.lit(key)))
+
+    def _closed(self, bundles: DataFrame, key: bytes | None) -> DataFrame:
+        return bundles if key is None else bundles.withColumn("payload", codecs.encrypt(F.col("payload"), F.lit(key)))
+
+    def payloads(self, password: str | None = None, wanted: DataFrame | None = None) -> DataFrame:
+        """(crypto, bytes) of everything stored, or of what the bundles that hold wanted chunks (crypto) have."""
+        return packing.unpacked(self._opened(self._bundles(wanted), self._key(password))).select("crypto", "bytes")
+
+    def _append(self, packed: DataFrame, payloads: DataFrame, key: bytes | None, config: Config) -> None:
+        stored = packing.stored(packed, payloads, config.compression_method, config.lzma_level)
         # bundles first, then the index that names them
-        stored.write.mode("append").parquet(f"{self.root}/bundles/snapshot={snapshot}")
+        self._closed(stored, key).write.mode("append").parquet(self._at("bundles", config))
         digests = payloads.select("crypto", signed(rolling_hex("bytes")).alias("digest"))
-        packed.join(digests, "crypto").select("session", "bundle_id", "pos", "crypto", "size", "digest").write.mode("append").parquet(f"{self.root}/index/snapshot={snapshot}")
+        packed.join(digests, "crypto").select("session", "bundle_id", "pos", "crypto", "size", "digest").write.mode("append").parquet(self._at("index", config))
+
+    def _delete(self, path: str) -> None:
+        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
     def backup(self, streams: DataFrame, session: str, password: str | None = None) -> None:
-        """Stores streams (stream_id, path, payload) as one session; a path that exists is an error.
+        """Stores streams (stream_id, path, payload) as one session; a path or stream_id that exists is an error.
 
         Streams are cut by sliding against the index as it was before the session and against themselves.
         """
         c, key = self.config, self._key(password)
-        streams = streams.withColumn("session", F.lit(session))
-        if not streams.join(self.table("backups"), "path", "left_semi").isEmpty():
-            raise FileExistsError("a backup of that path exists")
+        named = f"{session}-{uuid.uuid4().hex}"
+        streams = streams.withColumn("session", F.lit(named))
+        backups = self.table("backups")
+        for name in ("path", "stream_id"):
+            if not streams.join(backups, name, "left_semi").isEmpty() or not streams.groupBy(name).count().where("count > 1").isEmpty():
+                raise FileExistsError(f"a backup of that {name} exists")
         before = self.table("index")
         # written once: what is appended below must not be cut against
-        at = f"{self.root}/cut-{self.spark._jvm.java.util.UUID.randomUUID()}"
+        at = f"{self.root}/cut-{uuid.uuid4().hex}"
         full = before.where(F.col("size") == c.chunk_max_size).select("digest", "crypto")
         chunking.sliding_pieces(streams, full, c.chunk_max_size).write.parquet(at)
         pieces = self.spark.read.parquet(at)
@@ -156,10 +221,11 @@ class Repository:
         fresh = index.new_chunks(made.select("crypto", "stream_id", "seq", "session", "size"), before)
         packed = packing.packed(fresh, ["stream_id", "seq"], c.bundle_max_payload_size)
         first = pieces.drop("crypto").join(fresh.select("stream_id", "seq", "crypto"), ["stream_id", "seq"])
-        self._append(packed, first.select("crypto", "bytes"), key, c.snapshot)
-        made.write.mode("append").parquet(f"{self.root}/instructions")
-        restore.inspect_fast(streams).join(streams.select("stream_id", "path"), "stream_id").select("stream_id", "path", "size", "sha256", "iterations").write.mode("append").parquet(f"{self.root}/backups")
-        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(at), True)
+        self._append(packed, first.select("crypto", "bytes"), key, c)
+        made.select(*[f.split()[0] for f in SCHEMAS["instructions"].split(", ")]).write.mode("append").parquet(self._at("instructions", c))
+        manifests = restore.inspect_fast(streams).join(streams.select("stream_id", "path", "session"), "stream_id")
+        manifests.select("stream_id", "path", "size", "sha256", "iterations", "session").write.mode("append").parquet(self._at("backups", c))
+        self._delete(at)
 
     def restore(self, password: str | None = None) -> DataFrame:
         """Every stream, checked against its manifest."""
@@ -167,33 +233,83 @@ class Repository:
         return restore.verified(restore.restored(self.table("instructions"), self.payloads(password), backups), backups)
 
     def read(self, requests: DataFrame, password: str | None = None) -> DataFrame:
-        return restore.ranges(self.table("instructions"), self.payloads(password), requests)
+        """Ranges of streams; only bundles that hold a chunk of them are opened."""
+        instructions = self.table("instructions")
+        met = restore.met_by(instructions, restore.asked_for(instructions, requests)).where("crypto is not null")
+        return restore.ranges(instructions, self.payloads(password, met), requests)
 
     def collect_garbage(self, password: str | None = None, deep: bool = False, repack: bool = False, concat: bool = False) -> None:
-        """Keeps what the instructions use; the new snapshot is complete before the config names it."""
+        """Keeps what the instructions use; the new snapshot is complete before the config names it.
+
+        Kept bundles are carried over as they are; only chunks of modified ones are unpacked and packed anew.
+        concat: the index becomes one file.
+        """
         if repack and concat:
             raise ValueError("repack and concat exclude each other")
         c, key = self.config, self._key(password)
+        new = replace(c, snapshot=c.snapshot + 1)
         used = self.table("instructions").where("crypto is not null").select("crypto").distinct()
-        after = gc.rewritten(self.table("index"), used, c.bundle_max_payload_size, deep, repack)
-        after = after.coalesce(1) if concat else after
-        payloads = self.payloads(password).dropDuplicates(["crypto"])
-        self._append(after, payloads, key, c.snapshot + 1)
-        self._save("config", asdict(replace(c, snapshot=c.snapshot + 1)))
-        for name in ("bundles", "index"):
-            self._fs().delete(self._path(f"{name}/snapshot={c.snapshot}"), True)
+        before = self.table("index")
+        at = f"{self.root}/after-{uuid.uuid4().hex}"
+        gc.rewritten(before, used, c.bundle_max_payload_size, deep, repack).write.parquet(at)
+        after = self.spark.read.parquet(at)
+        for name in ("bundles", "index"):  # what a collection that broke off has left
+            self._delete(self._at(name, new))
+        kept, moved = after.where("not moved"), after.where("moved").drop("moved")
+        self.table("bundles").join(kept.select("session", "bundle_id").distinct(), ["session", "bundle_id"], "left_semi").write.parquet(self._at("bundles", new))
+        again = packing.stored(moved, self.payloads(password, moved).dropDuplicates(["crypto"]), c.compression_method, c.lzma_level)
+        self._closed(again, key).write.mode("append").parquet(self._at("bundles", new))
+        digests = before.groupBy("crypto").agg(F.max("digest").alias("digest"))
+        rows = after.join(digests, "crypto").select("session", "bundle_id", "pos", "crypto", "size", "digest")
+        (rows.coalesce(1) if concat else rows).write.parquet(self._at("index", new))
+        self._save("config", asdict(new))
+        for path in (at, self._at("bundles", c), self._at("index", c)):
+            self._delete(path)
 
     def forget(self, paths: DataFrame) -> None:
         """Drops backups by path (path); their chunks go with the next collection."""
+        c = self.config
+        new = replace(c, listing=c.listing + 1)
+        gone = self.table("backups").join(paths, "path", "left_semi").select("stream_id")
         for name in ("backups", "instructions"):
-            gone = self.table("backups").join(paths, "path", "left_semi").select("stream_id")
-            kept = self.table(name).join(gone, "stream_id", "left_anti")
-            kept.write.mode("overwrite").parquet(f"{self.root}/{name}.new")
-            if name == "instructions":
-                for each in ("instructions", "backups"):
-                    self._fs().delete(self._path(each), True)
-                    self._fs().rename(self._path(f"{each}.new"), self._path(each))
-
-    def export_to(self, other: Repository) -> DataFrame:
+            self._delete(self._at(name, new))
+            self.table(name).join(gone, "stream_id", "left_anti").write.parquet(self._at(name, new))
+        self._save("config", asdict(new))
+        for name in ("backups", "instructions"):
+            self._delete(self._at(name, c))
+
+    def missing_in(self, other: Repository) -> DataFrame:
         """Backups that the other repository lacks, by path."""
         return exchange.missing(self.table("backups"), other.table("backups"))
+
+    def export_to(self, other: Repository, password: str | None = None, other_password: str | None = None) -> DataFrame:
+        """Transfers the backups that the other repository lacks, by path, and returns them.
+
+        Whole bundles travel, those that hold a chunk that the other lacks; they keep their compression and get the other
+        repository's key. Chunks, instructions and manifests are written in the order of a session.
+        """
+        key, other_key, c = self._key(password), other._key(other_password), other.config
+        at = f"{other.root}/incoming-{uuid.uuid4().hex}"
+        self.missing_in(other).write.parquet(at)
+        incoming = self.spark.read.schema(SCHEMAS["backups"]).parquet(at)
+        if not incoming.join(other.table("backups"), "stream_id", "left_semi").isEmpty():
+            raise FileExistsError("a backup of that stream_id exists")
+        instructions = self.table("instructions").join(incoming.select("stream_id"), "stream_id", "left_semi")
+        lacked = exchange.missing(instructions.where("crypto is not null").select("crypto").distinct(), other.table("index"), "crypto")
+        bundles = self._bundles(lacked).join(other.table("bundles").select("session", "bundle_id"), ["session", "bundle_id"], "left_anti")
+        places = bundles.select("session", "bundle_id").distinct()
+        entries = self.table("index").join(places, ["session", "bundle_id"], "left_semi")
+        staged = {"bundles": other._closed(self._opened(bundles, key), other_key), "index": entries, "instructions": instructions, "backups": incoming}
+        # all is read before anything is written, as the other's tables decide what travels
+        for name, rows in staged.items():
+            rows.select(*[f.strip().split()[0] for f in re.split(r", (?![^<]*>)", SCHEMAS[name])]).write.parquet(f"{at}-{name}")
+        for name in staged:
+            self.spark.read.schema(SCHEMAS[name]).parquet(f"{at}-{name}").write.mode("append").parquet(other._at(name, c))
+            self._delete(f"{at}-{name}")
+        found = self.spark.createDataFrame(incoming.select("path").toArrow())
+        self._delete(at)
+        return found
+
+    def import_from(self, other: Repository, password: str | None = None, other_password: str | None = None) -> DataFrame:
+        """The same in the other direction."""
+        return other.export_to(self, other_password, password)

@@ -33,7 +33,7 @@ def session_writer(spark: SparkSession, root: str, chunk: int, cap: int, slide:
             cut = chunking.fixed_pieces(streams, chunk)
             made = chunking.instructions(cut)
         fresh = index.new_chunks(made.select("crypto", "stream_id", "seq", "session", "size"), before)
-        packed = bundles.packed(fresh, ["stream_id", "seq"], cap)
+        packed = bundles.behind(bundles.packed(fresh, ["stream_id", "seq"], cap), before)
         if slide:
             digests = cut.select("stream_id", "seq", signed(rolling_hex("bytes")).alias("digest")).dropDuplicates(["stream_id", "seq"])
             packed = packed.join(digests, ["stream_id", "seq"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chunkmill import sources
 from chunkmill.functions import codecs, hashing
-from chunkmill.operators import bundles, chunking, exchange, gc, index, rules
+from chunkmill.operators import bundles, chunking, exchange, gc, index, restore, rules
 from chunkmill.plans.repository import Config, Repository
 
 
@@ -184,3 +184,129 @@ def test_backup_slides_over_inserted_bytes(spark, tmp_path):
     repo.backup(spark.createDataFrame([(3, "c", b"??" + data)], schema), "s3")
     assert repo.table("index").count() == n
     assert {r.stream_id: bytes(r.payload) for r in repo.restore().collect()} == {1: data, 2: moved, 3: b"??" + data}
+
+
+STREAMS = "stream_id long, path string, payload binary"
+
+
+def contents(repo, password=None):
+    return {r.path: bytes(r.payload) for r in repo.restore(password).join(repo.table("backups").select("stream_id", "path"), "stream_id").collect()}
+
+
+def test_requests_that_repeat_are_each_answered(spark, tmp_path):
+    data = random.Random(9).randbytes(900)
+    repo = Repository.init(spark, str(tmp_path / "r"), Config(256, 1024, "zlib"))
+    repo.backup(spark.createDataFrame([(1, "a", data)], STREAMS), "s")
+    asked = spark.createDataFrame([(1, 200, 300)] * 3 + [(1, 0, 10), (1, 900, 0)], "stream_id long, start long, length long")
+    assert sorted((r.start, bytes(r.bytes)) for r in repo.read(asked).collect()) == [(0, data[:10])] + [(200, data[200:500])] * 3 + [(900, b"")]
+
+
+def test_checks_hold_whatever_columns_are_asked_for(spark, tmp_path):
+    data = random.Random(10).randbytes(900)
+    repo = Repository.init(spark, str(tmp_path / "r"), Config(256, 1024, "zlib"))
+    repo.backup(spark.createDataFrame([(1, "a", data), (2, "b", data[:400])], STREAMS), "s")
+    manifests = repo.table("backups").withColumn("sha256", F.when(F.col("stream_id") == 2, "00").otherwise(F.col("sha256")))
+    whole = restore.restored(repo.table("instructions"), repo.payloads(), manifests)
+    for rows in (restore.verified(whole, manifests).select("stream_id", "size"), restore.verified(whole, manifests).select("stream_id")):
+        with pytest.raises(Exception, match="checksum mismatch"):
+            rows.collect()
+    lost = repo.payloads().limit(1)
+    with pytest.raises(Exception, match="no such chunk"):
+        restore.emitted(repo.table("instructions"), lost).select("stream_id", "seq").collect()
+    refs = spark.createDataFrame([("aa", 1)], "crypto string, size int")
+    with pytest.raises(Exception, match="no such chunk"):
+        index.located(refs, repo.table("index")).select("size").collect()
+
+
+def test_sessions_of_one_name_and_streams_of_one_id(spark, tmp_path):
+    draw = random.Random(11)
+    a, b = draw.randbytes(3000), draw.randbytes(3000)
+    repo = Repository.init(spark, str(tmp_path / "r"), Config(256, 1024, "zlib"))
+    repo.backup(spark.createDataFrame([(1, "a", a)], STREAMS), "same")
+    repo.backup(spark.createDataFrame([(2, "b", b)], STREAMS), "same")
+    places = repo.table("index").groupBy("session", "bundle_id", "pos").count()
+    assert places.where("count > 1").isEmpty() and contents(repo) == {"a": a, "b": b}
+    for rows in ([(1, "c", b"x")], [(3, "c", b"x"), (3, "d", b"y")], [(3, "c", b"x"), (4, "c", b"y")]):
+        with pytest.raises(FileExistsError):
+            repo.backup(spark.createDataFrame(rows, STREAMS), "t")
+
+
+def test_a_session_that_broke_off_leaves_nothing_to_restore(spark, tmp_path, monkeypatch):
+    data = random.Random(12).randbytes(2000)
+    repo = Repository.init(spark, str(tmp_path / "r"), Config(256, 1024, "zlib"))
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr("chunkmill.plans.repository.restore.inspect_fast", broken)
+        with pytest.raises(RuntimeError):
+            repo.backup(spark.createDataFrame([(1, "a", data)], STREAMS), "s")
+    assert repo.table("instructions").isEmpty() and repo.table("backups").isEmpty() and not repo.table("index").isEmpty()
+    n = repo.table("index").count()
+    repo.backup(spark.createDataFrame([(1, "a", data)], STREAMS), "s")
+    assert contents(repo) == {"a": data} and repo.table("index").count() == n  # its chunks are referred to
+
+
+def test_collection_carries_kept_bundles_over(spark, tmp_path):
+    draw = random.Random(13)
+    kept, gone = draw.randbytes(4096), draw.randbytes(2048)
+    repo = Repository.init(spark, str(tmp_path / "r"), Config(256, 1024, "zlib"), "pw")
+    repo.backup(spark.createDataFrame([(1, "a", kept)], STREAMS), "s", "pw")
+    repo.backup(spark.createDataFrame([(2, "b", gone), (3, "c", gone[:256])], STREAMS), "s", "pw")
+    before = {(r.session, r.bundle_id): bytes(r.payload) for r in repo.table("bundles").collect()}
+    repo.forget(spark.createDataFrame([("b",)], "path string"))
+    repo.collect_garbage("pw", concat=True)
+    after = {(r.session, r.bundle_id): bytes(r.payload) for r in repo.table("bundles").collect()}
+    # the initialization vectors are random: equal bytes have not been encrypted again
+    assert len(before.items() & after.items()) == 4 and len(after) == 5
+    assert len(repo.table("index").inputFiles()) == 1
+    assert contents(repo, "pw") == {"a": kept, "c": gone[:256]}
+
+
+@pytest.mark.parametrize("keys", [(None, None), ("one", None), ("one", "two")])
+def test_export_and_import_transfer(spark, tmp_path, keys):
+    draw = random.Random(14)
+    shared, a, b = draw.randbytes(1024), draw.randbytes(3000), draw.randbytes(900)
+    first = Repository.init(spark, str(tmp_path / "x"), Config(256, 1024, "lzma", 1), keys[0])
+    second = Repository.init(spark, str(tmp_path / "y"), Config(256, 2048, "zlib"), keys[1])
+    first.backup(spark.createDataFrame([(1, "a", shared + a), (2, "b", b)], STREAMS), "s", keys[0])
+    second.backup(spark.createDataFrame([(3, "b", b"another"), (4, "d", shared)], STREAMS), "t", keys[1])
+    assert [r.path for r in first.missing_in(second).collect()] == ["a"]
+    assert [r.path for r in first.export_to(second, *keys).collect()] == ["a"]
+    assert contents(second, keys[1]) == {"a": shared + a, "b": b"another", "d": shared}
+    assert first.export_to(second, *keys).isEmpty()
+    assert [r.path for r in first.import_from(second, *keys).collect()] == ["d"]
+    assert contents(first, keys[0]) == {"a": shared + a, "b": b, "d": shared}
+    second.collect_garbage(keys[1])
+    assert contents(second, keys[1]) == {"a": shared + a, "b": b"another", "d": shared}
+
+
+def test_versions_and_options(spark, tmp_path):
+    repo = Repository.init(spark, str(tmp_path / "r"), Config(256, 1024, "zlib"))
+    repo.set_option("chunk.max_size", "4KiB")
+    assert repo.config.shown()["chunk.max_size"] == "4096"
+    repo.set_option("chunk.max_size", None)
+    assert repo.config.chunk_max_size == Config().chunk_max_size and repo.config.compression_method == "zlib"
+    with pytest.raises(ValueError):
+        repo.set_option("chunk.min_size", None)
+    assert len([p for p in (tmp_path / "r").iterdir() if p.name.startswith("config")]) == 1
+    repo._save("config", {"version": 99})
+    with pytest.raises(ValueError, match="version 99"):
+        repo.restore()
+    # a bundle of the first version names no compression
+    old = spark.createDataFrame([("s", 0, None, [("aa", 3)], codecs.codec("lzma")[0](b"abc"))], "session string, bundle_id long, method string, records array<struct<crypto: string, size: int>>, payload binary")
+    assert bytes(bundles.unpacked(old).first().bytes) == b"abc"
+    with pytest.raises(Exception, match="does not hold"):
+        bundles.unpacked(old.withColumn("records", F.expr("array(named_struct('crypto', 'aa', 'size', 4))"))).collect()
+
+
+def test_files_that_vanish(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).write_bytes(name.encode())
+    strict, tolerant = (sources.file_streams(spark, str(tmp_path), tolerant=t) for t in (False, True))
+    assert sorted(r.relative for r in strict.collect()) == ["one", "two"]
+    (tmp_path / "two").unlink()
+    assert [r.relative for r in tolerant.collect()] == ["one"]
+    with pytest.raises(Exception, match="(?i)exist"):
+        strict.collect()
