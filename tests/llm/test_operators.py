@@ -145,6 +145,22 @@ def test_lines(spark, odd, empty):
     assert lines.digests(odd).count() == odd.count()
 
 
+def test_lines_many_of_a_kind_and_clashing_names(spark):
+    """More lines of a component than stay in a bucket; columns of the names that are used inside."""
+    draw = random.Random(17)
+    base, other = words(draw, 60), words(draw, 60)
+    vary = lambda x, n: " ".join("zzzz" if k in set(draw.sample(range(60), n)) else w for k, w in enumerate(x.split()))
+    rows = [(i if i % 7 else None, "\n".join([vary(base, draw.randrange(3)), vary(other, 2 * (i % 2)), words(draw, 9), ""]), *"12345678") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, doc string, h string, d string, `drop` string, k string, lines string, no string").repartition(6)
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()
+    gone = brute_lines(own)
+    want = Counter((r.doc_id, "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id is None, r.doc_id or 0, r.h, k) not in gone)) for r in own)
+    found = lines.deduplicated(docs, ("n_lines", "n_kept"))
+    assert found.columns == [*docs.columns, "n_lines", "n_kept"] and len(gone) > 200
+    got = found.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == want and all(r["row"] == "1" and r.no == "8" for r in got)
+
+
 def test_bpe(odd, empty):
     from tokenizers import Tokenizer
 
@@ -184,6 +200,14 @@ def test_mixing(small, odd, empty):
     assert mixing.mixture(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_of_equal_and_missing_ids_is_repeatable(spark):
+    draw = random.Random(16)
+    rows = [(draw.choice([None, 7, i % 20]), words(draw, draw.randrange(1, 6)), draw.choice(["a", "b", "c", "d", None]), i % 3) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    first = Counter(map(tuple, mixing.mixed_documents(docs).collect()))
+    assert first == Counter(map(tuple, mixing.mixed_documents(docs.repartition(7)).collect())) and sum(first.values()) > 100
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (4, 0, "user", "a"), (4, 1, "bot", "c"), (5, 0, None, "a"), (6, None, "user", None), (7, 0, "user", ""), (None, 0, "user", "z")]
     rows += [(8, i, "user", str(i)) for i in range(600)] + [(9, i, "user", str(i)) for i in range(500)]
@@ -268,6 +292,37 @@ def test_fingerprints(spark, small, odd, empty):
     assert [r.near_next for r in fingerprints.fingerprinted(spark.createDataFrame([(1, "x")], "doc_id long, text string")).collect()] == [1.0]
 
 
+def test_fingerprints_of_repeated_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 20)
+    draw = random.Random(15)
+    rows = [(draw.choice([None, 5, 5, 5, i]), words(draw, draw.randrange(1, 30)) if i % 9 else draw.choice(["", "same", None])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranged = fingerprints.with_successors(docs).groupBy("range").count().collect()
+    assert len(ranged) > 10 and max(r["count"] for r in ranged) < 80  # no id keeps its rows in one range
+    keyed = [(r.doc_id is None, r.doc_id or 0, r.h, r.text or "") for r in docs.withColumn("h", F.xxhash64("text")).collect()]
+    keyed.sort()
+    want = Counter()
+    for (no, i, _, a), (*_, b) in zip(keyed, keyed[1:] + keyed[:1], strict=True):
+        k = len(a) // 2
+        want[(None if no else i, len(a), hashlib.sha256((a[: len(a) - k] + b[:k]).encode()).hexdigest(), a == b)] += 1
+    got = fingerprints.fingerprinted(docs).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.near_next == 1.0 and r.common_next == r.n_chars) for r in got) == want
+
+
+def test_fingerprint_likeness(small):
+    """Estimates against the Jaccard similarity of all spans."""
+    rows = sorted((r.doc_id, r.text or "") for r in small.select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in fingerprints.fingerprinted(small).collect()}
+    off = []
+    for (i, a), (_, b) in zip(rows, rows[1:] + rows[:1], strict=True):
+        k, w = len(a) // 2, fingerprints.WIDTH
+        for other, near in ((a[: len(a) - k] + b[:k], got[i].near_edited), (b, got[i].near_next)):
+            x, y = ({t[j : j + w] for j in range(len(t) - w + 1)} for t in (a, other))
+            if x and y:
+                off.append(abs(len(x & y) / len(x | y) - near))
+    assert np.mean(off) < 0.03 and max(off) < 0.2, (np.mean(off), max(off))
+
+
 def test_media(spark, odd, empty):
     got = {}
     for r in media.media_columns(odd).collect():
@@ -280,6 +335,18 @@ def test_media(spark, odd, empty):
         assert x.n_bytes == len((r.text or "").encode()) and x.payload_bytes == len(data) and len(data) % 576 == 0 < len(data)
         assert x.payload_sha256 == hashlib.sha256(data).hexdigest() and x.tail_crc32 == zlib.crc32(data[-32:])
         assert media.samples(media.image(data)) == data and x.height * x.width == len(data)
+    # whatever the id: each row has what its own text gives
+    want = Counter((r.doc_id, len((r.text or "").encode()), hashlib.sha256(media.payload((r.text or "").encode())).hexdigest()) for r in odd.collect())
+    rows = media.media_columns(odd).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in rows) == want
+    for r in rows:
+        data = next(media.payload((t or "").encode()) for t in [x.text for x in odd.select("text").collect()] if hashlib.sha256(media.payload((t or "").encode())).hexdigest() == r.payload_sha256)
+        image, samples = media.image(data), np.frombuffer(data, np.uint8)
+        assert (r.media_bytes, r.length, r.media_sha256) == (len(image), len(image), hashlib.sha256(image).hexdigest())
+        assert (r.width, r.height) == media.header(image[: media.HEADER])[:2] == (576, len(data) // 576)
+        bins = np.histogram(samples, 16, (0, 256))[0]
+        assert r.feature == f"576x{len(data) // 576};mean={samples.mean():.4f};std={samples.std():.4f};hist=" + bytes(int(b) * 255 // int(bins.max()) for b in bins).hex()
+    assert sorted(map(str, rows)) == sorted(map(str, media.media_columns(odd).collect()))  # names of shards are fixed
     assert got[5].media_sha256 == got[6].media_sha256 and (got[5].shard, got[5].offset) == (got[6].shard, got[6].offset)
     assert media.media_columns(odd).count() == odd.count() and media.media_columns(empty).count() == 0
 
@@ -300,6 +367,43 @@ def test_quality(spark, odd, empty):
     assert quality.scored(odd, quality.fit(odd, labels), tuple(odd.columns), "s_").columns == [*odd.columns, "s_"]
 
 
+def test_quality_against_brute_force(spark):
+    """The margins of the dual coordinate descent against projected gradient steps on the same problem, from the definition."""
+    draw = np.random.default_rng(18)
+    rows, labels = [], []
+    for i in range(80):
+        y = i % 2
+        rows.append(np.unique(np.concatenate([draw.integers(0, 40, 6), draw.integers(100 + 20 * y, 130 + 20 * y, 4)])))
+        labels.append(y)
+    y = np.array(labels, float)
+    model = quality.Model.__new__(quality.Model)
+    model._fit(rows, y)
+    x = np.zeros((80, 200))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    counts = [x[y == k].sum(0) + quality.ALPHA for k in (0, 1)]
+    rest = (1 << quality.BITS) - 200
+    ratio = np.log(counts[1] / (counts[1].sum() + rest * quality.ALPHA)) - np.log(counts[0] / (counts[0].sum() + rest * quality.ALPHA))
+    f = x * ratio
+    f /= np.sqrt((f**2).sum(1, keepdims=True))
+    f, sign = np.column_stack([f, np.ones(80)]), np.where(y > 0, 1.0, -1.0)
+    q = (f @ f.T) * np.outer(sign, sign)
+    dual, step = np.zeros(80), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(200_000):
+        dual = np.clip(dual - step * (q @ dual - 1), 0, quality.COST)
+    want = f @ (f.T @ (dual * sign))
+    got = np.array([model.margin(r) for r in rows])
+    assert np.abs(got - want).max() < 0.02, np.abs(got - want).max()
+
+
+def test_quality_fits_one_text_of_an_id(spark):
+    rows = [(1, "good text here"), (1, "another"), (2, "bad bad bad bad bad bad bad"), (None, "x"), (3, None)]
+    docs = spark.createDataFrame(rows * 20, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (9, 1), (None, 1)], "doc_id long, label int")
+    a, b = (quality.fit(d, labels) for d in (docs, docs.repartition(7)))
+    assert (a.weight == b.weight).all() and a.offset == b.offset
+
+
 def test_toxicity(spark, odd, empty):
     rows = queries.op3_toxicity(spark, "/root/testdata/sf0.01").collect()
     found = held_out(spark, "toxic", rows)
@@ -382,6 +486,36 @@ def test_nearest_examples_are_exact():
             assert index.ids[at].tolist() == order and np.allclose(near, cosine[order], atol=1e-8)
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls, repeats and clashing names go through every stage; what stays is as the operators' own rules say."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, 1, 0) for i in range(14)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = odd.withColumn("n_lines", F.lit("a")).withColumn("quality_score_", F.lit("b")).withColumn("row", F.lit("c")).withColumn("words", F.lit("d"))
+    for table in (more, empty):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "tokens":
+                break
+            assert out.dtypes == table.dtypes, name
+            rows, before = out.collect(), docs.collect()
+            if name == "quality classifier":  # only good ones are known, so all stay
+                assert Counter(map(tuple, rows)) == Counter(map(tuple, before))
+            if name == "line dedup":
+                own = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()
+                gone = brute_lines(own)
+                left = [(r.doc_id, r.text, [x for k, x in enumerate((r.text or "").split("\n")) if (r.doc_id is None, r.doc_id or 0, r.h, k) not in gone]) for r in own]
+                want = Counter((i, t if t is None else "\n".join(k)) for i, t, k in left if any(map(str.strip, k)) or not (t or "").strip())
+                assert Counter((r.doc_id, r.text) for r in rows) == want
+            if name == "near-duplicates":
+                sets = [frozenset(word_shingles(r.text or "", WordHashes()).tolist()) for r in before]
+                part = groups(list(range(len(sets))), [np.array(sorted(x), np.uint64) for x in sets], 80)
+                assert len(rows) == len({part[i] for i, x in enumerate(sets) if x}) + sum(not x for x in sets)
+            docs = spark.createDataFrame(rows, table.schema)
+        assert out.count() == docs.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
