@@ -132,14 +132,14 @@ def stored(documents: DataFrame, folder: str) -> DataFrame:
 
 
 def read_back(places: DataFrame, folder: str) -> DataFrame:
-    """What headers alone tell (width, height), and what the stored ranges hold, for every place."""
+    """Every place with what its header alone tells (width, height), and what the stored range holds."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(folder)
         name, shard = None, None
         for batch in batches:
             out = []
-            for digest, where, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
+            for where, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if where != name:
                     if shard:
                         shard.close()
@@ -147,19 +147,22 @@ def read_back(places: DataFrame, folder: str) -> DataFrame:
                 width, height, _ = header(shard.read_at(HEADER, offset))
                 whole = shard.read_at(length, offset)
                 data = samples(whole)
-                out.append((digest, width, height, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(whole), hashlib.sha256(whole).hexdigest(), feature(width, height, np.frombuffer(data, np.uint8))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["digest", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                out.append((width, height, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-32:]), hashlib.sha256(whole).digest(), feature(width, height, np.frombuffer(data, np.uint8))))
+            found = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, "width", "height", "payload_bytes", "payload", "tail_crc32", "media", "feature"])
 
+    names = ["digest", "shard", "offset", "length"]
     # a shard's rows meet in a task, in the order in which they are stored
-    return map_text(places.repartition("shard").sortWithinPartitions("shard", "offset"), rows, "digest binary, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    ordered = places.select(names).repartition("shard").sortWithinPartitions("shard", "offset")
+    return map_text(ordered, rows, "digest binary, shard string, offset long, length long, width int, height int, payload_bytes long, payload binary, tail_crc32 long, media binary, feature string")
 
 
 def media_columns(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the columns of the stored media of every row, with its place (shard, offset, length)."""
     folder = f"{shared_dir(documents.sparkSession)}/media-{uuid.uuid4().hex}"
-    places = scratch(stored(documents, folder), "places")
+    known = scratch(read_back(stored(documents, folder), folder), "read-back")
     for_exit(documents.sparkSession, folder)
-    known = scratch(places.join(read_back(places, folder), "digest"), "read-back")
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    digest, hexed = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), lambda c, name: F.lower(F.hex(c)).alias(name)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("digest"))
-    return rows.join(known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.lower(F.hex("digest")).alias("digest"), "shard", "offset", "length", "width", "height")
+    columns = ["payload_bytes", hexed("payload", "payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), hexed("media", "media_sha256"), "feature", hexed("digest", "digest"), "shard", "offset", "length", "width", "height"]
+    return rows.join(known, "digest").select("doc_id", "n_bytes", *columns)
