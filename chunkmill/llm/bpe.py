@@ -5,7 +5,9 @@ positions, the ranks that occur are applied in ascending order, and every merge
 makes. A merge makes a new symbol, so the pairs it makes always rank higher: one pass over the ranks is exact.
 
 Defined cases: null is the empty text and has no ids; strings of special tokens in a text become their one id, as
-the vocabulary's own library does; extra columns are passed over; any length is encoded whole.
+the vocabulary's own library does; any length is encoded whole; rows that repeat a doc_id or have none are rows like
+others; of equal pairs the first in a word merges first; an empty table gives no rows; extra columns are passed over,
+whatever their names.
 """
 
 from __future__ import annotations

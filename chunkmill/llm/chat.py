@@ -6,8 +6,11 @@ turns' hashes, so it rolls within a run and runs add up. A conversation's key is
 equality keeps the turns where they are dealt out, and their texts move once more only if they are rendered. Conversations whose full hash is a proper prefix's hash of
 another are dropped by an anti-join, equal ones keep the smallest conv_id.
 
-Defined cases: turns are ordered by number (null last), role, text; null roles and texts differ from empty ones and
-are rendered empty; a null conv_id is a conversation like others; extra columns are passed over; no rows give none.
+Defined cases: turns are ordered by number (null last), role, text, and only equal turns tie; a turn that is repeated
+counts as often as it stands there; null roles and texts differ from empty ones and are rendered empty; a null conv_id
+is a conversation like others; texts and conversations of any length are rendered whole; extra columns are passed over,
+whatever their names; no rows give none. Turns of a conversation without a number, or of one number, are one run and
+meet in a task.
 """
 
 from __future__ import annotations
