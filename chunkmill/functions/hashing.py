@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +60,23 @@ def rolling_hex(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else f"{digest(x):016x}")
 
 
+def rolling_digests(pieces: DataFrame) -> DataFrame:
+    """`pieces` with rolling_hex of bytes, as digest, in their place.
+
+    Spark puts off a cut until rolling_hex takes it, and each row that waits there for its result, on disk if need be,
+    has the stream's whole payload. Here rows are cut first, and none waits.
+    """
+    at = pieces.columns.index("bytes")
+    schema = T.StructType([T.StructField("digest", T.StringType()) if f.name == "bytes" else f for f in pieces.schema])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [None if x is None else f"{digest(x):016x}" for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()) if i == at else x for i, x in enumerate(batch.columns)], names=schema.names)
+
+    return pieces.mapInArrow(rows, schema)
+
+
 @F.pandas_udf(T.LongType())
 def adler32(data: pd.Series) -> pd.Series:
     """Adler-32 checksum, 1 for the empty string; null for null."""

@@ -141,7 +141,7 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PIECES + f" SELECT stream_id, seq, {_ROLLING_HEX} AS digest FROM pieces")
 def rolling_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces(spark, sf_dir).select("stream_id", "seq", hashing.rolling_hex("bytes").alias("digest"))
+    return hashing.rolling_digests(pieces(spark, sf_dir).select("stream_id", "seq", "bytes"))
 
 
 @query(_PIECES + f"""

@@ -1,4 +1,5 @@
 import random
+from functools import reduce
 
 import duckdb
 import pytest
@@ -110,3 +111,26 @@ def test_sliding_finds_shifted_copies_and_short_items(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = {(r.stream_id, r.offset) for r in catalogue.sliding_dedup(spark, str(tmp_path)).where("kind = 'ref'").collect()}
     assert found == {(2, i) for i in range(1, 641, 64)} | {(3, 50), (3, 50 + 88 + 50)}
+
+
+def test_rolling_digests_of_odd_streams(spark, tmp_path):
+    """Repeated and missing ids, null and empty texts, lengths around a block's, code points across its edge."""
+    texts = ["", None, "a", "\0", "x" * 255, "y" * 256, "z" * 257, "q" * 512, "a" * 255 + "é€\U0001f600" * 100, "long " * 20_000]
+    docs = [*enumerate(texts), (3, "again"), (None, "w" * 300), (-1, "negative")]
+    spark.createDataFrame([(i, "s", x) for i, x in docs], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fold = lambda data: reduce(lambda a, x: (a * 257 + x) % 2**64, data, 1)
+    want = [(i, seq, f"{fold(data[at : at + catalogue.M]):016x}") for i, x in docs for data in [(x or "").encode()] for seq, at in enumerate(range(0, len(data), catalogue.M))]
+    found = catalogue.rolling_digest(spark, str(tmp_path))
+    assert [(f.name, f.dataType.typeName()) for f in found.schema] == [("stream_id", "long"), ("seq", "integer"), ("digest", "string")]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_rolling_digest_gives_python_a_block_alone(spark):
+    """No row that goes to Python has its stream's payload, which would be there once for each block."""
+
+    def given(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        own = [(node.nodeName(), {x.output().apply(i).name() for i in range(x.output().size())}) for x in children] if "Arrow" in node.nodeName() else []
+        return own + [names for x in children for names in given(x)]
+
+    assert given(catalogue.rolling_digest(spark, SMALL)._jdf.queryExecution().optimizedPlan()) == [("MapInArrow", {"stream_id", "seq", "bytes"})]
