@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -27,8 +28,8 @@ from .common import map_text, texts
 #: The byte-level pre-tokenizer's pattern, white space spelled out as Unicode's property has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Words whose ids a task remembers, and code points of text whose new words are encoded together.
-REMEMBERED, TOGETHER = 400_000, 6_000_000
+#: Words whose ids a task remembers, and bytes of text that are encoded together: whole texts, cut where they reach this.
+REMEMBERED, TOGETHER = 400_000, 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -53,13 +54,13 @@ class Codec:
         codes = np.array([a * self.width + b for a, b, _ in self.by_rank], np.int64)
         self.rank = np.argsort(codes, kind="stable")
         self.codes = codes[self.rank]
-        self.bytes_of = {i: bytes(value[c] for c in token) for token, i in vocab.items()}
+        bytes_of = {i: bytes(value[c] for c in token) for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of.update({i: t.encode() for t, i in self.special.items()})
+        bytes_of.update({i: t.encode() for t, i in self.special.items()})
+        self.tokens = pa.array(map(bytes_of.get, range(max(bytes_of) + 1)), pa.large_binary())
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.ids: dict[str, bytes] = {}
-        self.text: dict[str, bytes] = {}
 
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one word's after another's, and how many each word has."""
@@ -126,16 +127,14 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
-            self.text.clear()
         new = [w for w in words if w not in self.ids and w not in self.special]
         ids, counts = self.merged([w.encode() for w in new])
         ends = np.cumsum(counts).tolist()
-        raw, pieces = ids.astype("<u4").tobytes(), list(map(self.bytes_of.__getitem__, ids.tolist()))
+        raw = ids.astype("<u4").tobytes()
         for word, n, end in zip(new, counts.tolist(), ends, strict=True):
             self.ids[word] = raw[4 * (end - n) : 4 * end]
-            self.text[word] = b"".join(pieces[end - n : end])
         for token in words & self.special.keys():
-            self.ids[token], self.text[token] = np.array([self.special[token]], "<u4").tobytes(), token.encode()
+            self.ids[token] = np.array([self.special[token]], "<u4").tobytes()
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order."""
@@ -143,15 +142,20 @@ class Codec:
             return self.split(text)
         return [x for part in self.cut.split(text) for x in ([part] if part in self.special else self.split(part))]
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode_bytes(self, ids: list[int] | np.ndarray) -> bytes:
+        found = self.tokens.take(pa.array(ids, pa.uint32()))
+        if found.null_count:
+            raise KeyError("an id without a token")
+        _, ends, data = found.buffers()
+        return data[: np.frombuffer(ends, np.int64)[len(found)]].to_pybytes() if len(found) else b""
 
     def encode_batch(self, rows: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
         parts = [self.pieces(t) for t in rows]
         self.learn(set().union(*parts))
         for words in parts:
-            yield b"".join(map(self.ids.__getitem__, words)), b"".join(map(self.text.__getitem__, words))
+            ids = b"".join(map(self.ids.__getitem__, words))
+            yield ids, self.decode_bytes(np.frombuffer(ids, "<u4"))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_batch([text]))[0], "<u4").tolist()
@@ -172,23 +176,26 @@ def encoded(documents: DataFrame, vocabulary: str, with_ids: bool = False) -> Da
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(content.value)
 
-        def done(held: list[tuple[pa.Array, list[str]]]) -> pa.RecordBatch:
+        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             n, ids_sha, text_sha, all_ids = [], [], [], []
-            for ids, decoded in codec.encode_batch([t for _, own in held for t in own]):
+            for ids, decoded in codec.encode_batch([t for own in held for t in texts(own)]):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
                 if with_ids:
                     all_ids.append(np.frombuffer(ids, "<u4").astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([d for d, _ in held]), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([own.column("doc_id") for own in held]), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
         held, size = [], 0
         for batch in batches:
-            held.append((batch.column("doc_id"), texts(batch)))
-            size += sum(map(len, held[-1][1]))
-            if size > TOGETHER:
-                yield done(held)
-                held, size = [], 0
+            at = 0
+            for i, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+                size += n or 0
+                if size >= TOGETHER:
+                    yield done([*held, batch.slice(at, i + 1 - at)])
+                    held, size, at = [], 0, i + 1
+            if at < batch.num_rows:
+                held.append(batch.slice(at))
         if held:
             yield done(held)
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -180,6 +181,23 @@ def test_bpe(odd, empty):
         assert codec.decode(codec.encode(text)) == text
 
 
+def test_bpe_encodes_few_texts_at_a_time(spark, monkeypatch):
+    held, draw = [], random.Random(18)
+    monkeypatch.setattr(bpe, "map_text", lambda df, rows, schema: held.append(rows))
+    bpe.encoded(spark.createDataFrame([(1, "a")], "doc_id long, text string"), queries.vocabulary())
+    rows = [(i, words(draw, 5000)) for i in range(300)] + [(None, None), (300, ""), (300, "ü" * 10)]
+    size = sum(len(t or "") for _, t in rows)
+    assert size > 6_500_000  # one batch of long texts
+    got, at = list(held[0](iter([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])]))), 0
+    for batch in got:
+        texts = [t or "" for _, t in rows[at : at + batch.num_rows]]
+        assert sum(len(t.encode()) for t in texts[:-1]) < bpe.TOGETHER < 2_000_000
+        assert batch.column("doc_id").to_pylist() == [i for i, _ in rows[at : at + batch.num_rows]]
+        assert batch.column("decoded_sha256").to_pylist() == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+        at += batch.num_rows
+    assert at == len(rows)
+
+
 def test_mixing(small, odd, empty):
     for docs in (small, odd):
         got = mixing.mixture(docs, keep=("source",)).collect()
