@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import re
 import tempfile
@@ -61,6 +62,13 @@ def spare(columns: Iterable[str], name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system; else an idle worker keeps most of it, beside the JVM and other workers."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def map_text(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow over parts of batches: what is made of one part is in memory at a time."""
 
@@ -69,7 +77,11 @@ def map_text(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
             for at in range(0, batch.num_rows, TEXT_BATCH_ROWS):
                 yield batch.slice(at, TEXT_BATCH_ROWS)
 
-    return df.mapInArrow(lambda batches: rows(parts(batches)), schema)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(parts(batches))
+        give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def ship(spark: SparkSession, value: object) -> Callable[[], object]:

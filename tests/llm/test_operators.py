@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("chunkmill.llm")
 from chunkmill.llm import bpe, chat, fingerprints, lines, media, mixing, near_dedup, quality, queries, secrets, toxicity
-from chunkmill.llm.common import WordHashes, jaccard_at_least, read, word_shingles
+from chunkmill.llm.common import WordHashes, jaccard_at_least, map_text, read, word_shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, label string, score string, hash string"
 
@@ -198,6 +198,28 @@ def test_bpe_encodes_few_texts_at_a_time(spark, monkeypatch):
     assert at == len(rows)
 
 
+def test_tasks_give_memory_back():
+    class Table:
+        mapInArrow = staticmethod(lambda task, schema: task)
+
+    def rows(batches):
+        held = []
+        for i in range(200_000):
+            (held if i % 1000 else kept).append(i.to_bytes(1000))  # some of the heap stays in use
+        for batch in batches:
+            yield batch
+        del held
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    kept, before = [], resident()
+    got = list(map_text(Table, rows, "x long")(iter([pa.RecordBatch.from_pydict({"x": list(range(2500))})])))
+    assert [x for b in got for x in b.column("x").to_pylist()] == list(range(2500))
+    assert resident() - before < 60e6
+
+
 def test_mixing(small, odd, empty):
     for docs in (small, odd):
         got = mixing.mixture(docs, keep=("source",)).collect()
